@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosescan.llm import mixing, tokencount
+from prosescan.llm import mixing, tokencount, tokenfile
 from prosescan.llm.common import table
 from prosescan.llm.oracles import MIXING_SQL
 
@@ -18,9 +18,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfile.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_files(files)
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLE_SQL = {
