@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosescan.llm import fingerprints, mixing, tokencount, tokenfile
+from prosescan.llm import fingerprints, mixing, tokencount, tokenfile, toxicity
 from prosescan.llm.common import table
 from prosescan.llm.oracles import MIXING_SQL
 
@@ -27,11 +27,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(files)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL = {
