@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosescan.llm import fingerprints, mixing, tokencount, tokenfile, toxicity
+from prosescan.llm import fingerprints, mixing, pii, tokencount, tokenfile, toxicity
 from prosescan.llm.common import table
 from prosescan.llm.oracles import MIXING_SQL
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,6 +36,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op6_token_counts": op6_token_counts,
