@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosescan.llm import fingerprints, mixing, ngramjoin, pii, tokencount, tokenfile, toxicity
+from prosescan.llm import fingerprints, logbilinear, mixing, ngramjoin, pii, tokencount, tokenfile, toxicity
 from prosescan.llm.common import table
 from prosescan.llm.oracles import MIXING_SQL
 
@@ -39,6 +39,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logbilinear.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL = {
