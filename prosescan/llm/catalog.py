@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosescan.llm import fingerprints, logbilinear, mixing, ngramjoin, pii, tokencount, tokenfile, toxicity
+from prosescan.llm import fingerprints, forest, logbilinear, mixing, ngramjoin, pii, tokencount, tokenfile, toxicity
 from prosescan.llm.common import table
 from prosescan.llm.oracles import MIXING_SQL
 
@@ -22,6 +22,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_nearest": op4_nearest,
     "op5_fingerprints": op5_fingerprints,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
