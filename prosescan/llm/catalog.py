@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prosescan.llm import fingerprints, forest, logbilinear, mixing, ngramjoin, pii, tokencount, tokenfile, toxicity
+from prosescan.llm import fingerprints, forest, lattice, logbilinear, mixing, ngramjoin, pii, tokencount, tokenfile, toxicity
 from prosescan.llm.common import table
 from prosescan.llm.oracles import MIXING_SQL
 
@@ -43,6 +44,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,9 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_scoring": op10_lm_scoring,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -233,7 +233,10 @@ def classes(docs: DataFrame, *, n: int = N, similarity: float = SIMILARITY, reca
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: the one with the least id. Of repeated rows with that id, one stays."""
-    kept = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return out.dropDuplicates(["doc_id", "text"])
+    """docs with one document of each class: the one with the least id. Of rows that share that id one stays; rows with null ids stay."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("kept_rows"))
+    kept = classes(docs, **options).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct().join(ids, "doc_id").select(F.col("doc_id").alias("kept_id"), "kept_rows")
+    kept = written(kept, "kept")
+    out = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"])
+    once, often = out.where("kept_rows = 1"), out.where("kept_rows > 1").dropDuplicates(["kept_id"])
+    return once.unionByName(often).drop("kept_id", "kept_rows").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -160,3 +160,17 @@ def score(docs: DataFrame, labels: DataFrame, *, of: int = 3, held_out: int = 1,
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text", (remainder("doc_id", of) == held_out).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, **options) -> DataFrame:
+    """docs without those that are rejected: a score of reject or more."""
+    model = learn(docs, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for a in range(0, batch.num_rows, 2000):
+                p = model.scores([t or "" for t in texts.slice(a, 2000).to_pylist()])
+                yield batch.slice(a, 2000).filter(pa.array(p < reject))
+
+    return docs.mapInArrow(run, docs.schema)
