@@ -212,11 +212,17 @@ class Encoder:
         return [b"".join([known[u] for u in units]) if units else self._raw([t])[0] for t, units in zip(texts, cut, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that pieces stay known."""
+    return Encoder(path)
+
+
 def write_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Containers of the ids of all texts, written to the shared folder: part, seq, part_start, n_tokens, container."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        known, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         end = b"" if end_id is None else struct.pack("<I", end_id)
         seq = start = held = 0
         doc_ids, raws = [], []
@@ -229,7 +235,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2,
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
-                for doc, raw in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+                for doc, raw in zip(some.column(0).to_pylist(), known.encode(some.column(1).to_pylist()), strict=True):
                     doc_ids.append(doc)
                     raws.append(raw + end)
                     held += len(raws[-1]) // 4
