@@ -15,8 +15,11 @@ class Boosting:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosting:
         x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
+        if not len(y):
+            self.cuts, self.base, self.model = [], 0.0, []
+            return self
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T, strict=True)], 1) if len(x) else np.empty((0, len(self.cuts)), int)
+        binned = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T, strict=True)], 1)
         mean = (y.sum() + 0.5) / (len(y) + 1)
         self.base, self.model = float(np.log(mean / (1 - mean))), []
         score, n = np.full(len(y), self.base), binned.shape[1]

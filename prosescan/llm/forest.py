@@ -115,7 +115,8 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
     own = own.where(F.when(F.col("v").isNotNull(), usable(F.col("v"))).otherwise(False))
     sample = [r.v for r in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     length = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
-    share = fitted_share(np.array([v for v in sample if len(v) == length]).reshape(-1, length), k)
+    sample = [v for v in sample if len(v) == length]
+    share = fitted_share(np.array(sample, np.float64).reshape(len(sample), length), k)
     own = own.where(F.size("v") == length)
     asked = own.where(F.col("vec_id") % every == 0)
     n, m = own.count(), asked.count()
@@ -124,7 +125,7 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
     asks = asked.withColumn("set", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def answer(r: pa.Table, q: pa.Table) -> pa.Table:
-        matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(-1, length)
+        matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, length)
         found = list(nearest(matrix(r), r.column("vec_id").to_numpy(), matrix(q), q.column("vec_id").to_numpy(), share, k)) if r.num_rows and q.num_rows else []
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
