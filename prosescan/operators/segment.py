@@ -24,6 +24,7 @@ def mask(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     closes = F.transform(F.slice(lines, 2, 2**31 - 2), lambda x: trim(x).isin("---", "..."))
     front = F.when(trim(F.get(lines, F.lit(0))) == "---", F.array_position(closes, True).cast("int")).otherwise(F.lit(0))
+    front = F.when(front > 0, front).otherwise(-1)  # no front matter: fences may open on the first line
     # Only lines that look like fences enter the fold: (line, run, nothing after the run).
     runs = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), _fence(x).alias("run"), (trim(F.regexp_replace(trim_left(x), "^(`+|~+)", "")) == "").alias("bare"))), lambda m: F.length(m.run) > 0)
     start = F.struct(F.lit(-1).alias("open"), F.lit("").alias("run"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
@@ -42,7 +43,7 @@ def mask(docs: DataFrame) -> DataFrame:
     # Called non-deterministic (it isn't: the id is never under 0), a column is computed once. Else the optimizer would put its whole
     # expression wherever it is named, into filters before the exchange and into each step of a fold.
     once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
-    marked = docs.withColumn("_front", once(F.when(may, front).otherwise(0))).withColumn("_runs", once(F.when(may, runs)))
+    marked = docs.withColumn("_front", once(F.when(may, front).otherwise(-1))).withColumn("_runs", once(F.when(may, runs)))
     folded = marked.withColumn("_fold", once(F.when(may, fold))).withColumn("_spans", once(spans))
     return folded.withColumn("masked", once(F.when(may, masked).otherwise(F.col("text")))).drop("_front", "_runs", "_fold", "_spans")
 

@@ -54,7 +54,7 @@ fences as (
   select r.doc_ord, i, run, bare, row_number() over (partition by r.doc_ord order by i) as k
   from (select doc_ord, i, regexp_extract({trim_left("line")}, '^(`{{3,}}|~{{3,}})', 1) as run, {trim(f"regexp_replace({trim_left('line')}, '^(`+|~+)', '')")} = '' as bare
         from raw_lines where strlen({lead("line")}) <= 3) r left join front f using (doc_ord)
-  where run <> '' and i > coalesce(f.last, 0)
+  where run <> '' and i > coalesce(f.last, -1)
 ),
 fold as (
   select doc_ord, 0::bigint as k, -1::bigint as opened, '' as run, -1::bigint as was, -1::bigint as i from docs
