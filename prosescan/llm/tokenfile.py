@@ -21,7 +21,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,9 +37,9 @@ from prosescan.llm.common import text_of, written
 
 MAGIC, HEAD = b"PSRA", struct.Struct("<4sQQQQQ")
 #: Bits of the frequencies; least state; ids in a block at most; lanes at most; ids in a container at least, but for the last of a range.
-PRECISION, LOW, BLOCK_IDS, LANES, CONTAINER_IDS = 18, np.uint64(1 << 31), 1 << 18, 1024, 1 << 20
+PRECISION, LOW, BLOCK_IDS, LANES, CONTAINER_IDS = 18, np.uint64(1 << 31), 1 << 20, 4096, 1 << 20
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 900_000
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -169,6 +171,10 @@ class Container:
         return np.concatenate([self.block(k) for k in range(len(self.places))]) if self.places else np.empty(0, np.uint32)
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as the machine's own 32-bit integers, which must be little-endian")
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -188,26 +194,29 @@ class Encoder:
     def __init__(self, path: str):
         self.library = tokenizer(path)
         special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.marks = [*special, "  ", " \n", "\n ", "\n\n", "\0"]
+        self.special = special
         self.other_space = re.compile(r"[^\S \n]")
         self.known: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bool:
         """Whether the library must see the text as it is."""
-        return any(m in text for m in self.marks) or bool(self.other_space.search(text))
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or self.other_space.search(text):
+            return True
+        return any(m in text for m in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         cut = [None if self.whole(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
         known = self.known
-        fresh = list({u for units in cut if units for u in units if u not in known})
+        seen = set().union(*(units for units in cut if units))
+        fresh = list(seen.difference(known))
         if len(known) + len(fresh) > REMEMBERED:  # short pieces recur most
             short = {u: ids for u, ids in known.items() if len(u) < 8}
             known = self.known = short if 2 * len(short) < REMEMBERED else {}
-            fresh = list({u for units in cut if units for u in units if u not in known})
+            fresh = list(seen.difference(self.known))
         known.update(zip(fresh, self._raw(fresh), strict=True))
         return [b"".join([known[u] for u in units]) if units else self._raw([t])[0] for t, units in zip(texts, cut, strict=True)]
 
