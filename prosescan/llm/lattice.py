@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from prosescan.llm.common import text_of
 
-MARK, LONG, AT_ONCE = "▁", 60, 2000
+MARK, LONG, AT_ONCE = "▁", 60, 500
 #: Before a mark that follows another character; between a letter and a comma or full stop; around line feeds.
 CUTS = rf"(?<=[^{MARK}])(?={MARK})|(?<=\p{{L}})(?=[,.])|(?=\n)|(?<=\n)"
 
@@ -123,7 +123,10 @@ def cuts_of_units(words: DataFrame, model_path: str) -> DataFrame:
 def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Slices of values, one after the other."""
     ends = np.cumsum(lengths)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
     return values[at]
 
 
@@ -261,6 +264,7 @@ def encode(docs: DataFrame, model_path: str, *, with_ids: bool = False, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, p = lattice(model_path), pieces(model_path)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for a in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(a, AT_ONCE)
                 column = some.column(1)
