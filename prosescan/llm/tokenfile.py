@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ from prosescan.llm.common import text_of, written
 MAGIC, HEAD = b"PSRA", struct.Struct("<4sQQQQQ")
 #: Bits of the frequencies; least state; ids in a block at most; lanes at most; ids in a container at least, but for the last of a range.
 PRECISION, LOW, BLOCK_IDS, LANES, CONTAINER_IDS = 18, np.uint64(1 << 31), 1 << 20, 4096, 1 << 20
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 900_000
+#: Distinct pieces of text whose ids a worker remembers; documents encoded at once.
+REMEMBERED, AT_ONCE = 900_000, 2000
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -207,18 +208,37 @@ class Encoder:
             return True
         return any(m in text for m in self.special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        cut = [None if self.whole(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of texts that may be cut; each distinct piece is looked up once."""
+        column = pc.split_pattern(pa.array([t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts], pa.large_string()), "\0")
+        coded = pc.dictionary_encode(column.flatten())
+        units, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         known = self.known
-        seen = set().union(*(units for units in cut if units))
-        fresh = list(seen.difference(known))
+        fresh = [u for u in units if u not in known]
         if len(known) + len(fresh) > REMEMBERED:  # short pieces recur most
             short = {u: ids for u, ids in known.items() if len(u) < 8}
             known = self.known = short if 2 * len(short) < REMEMBERED else {}
-            fresh = list(seen.difference(self.known))
+            fresh = [u for u in units if u not in known]
         known.update(zip(fresh, self._raw(fresh), strict=True))
-        return [b"".join([known[u] for u in units]) if units else self._raw([t])[0] for t, units in zip(texts, cut, strict=True)]
+        own = [known[u] for u in units]
+        table, sizes = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        n = sizes[place]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[place] - ends + n, n)
+        at += np.arange(len(at))
+        of = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return table[at], np.diff(np.concatenate([[0], ends])[of])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and their numbers."""
+        whole = [self.whole(t) for t in texts]
+        ids, counts = self._cut([t for t, w in zip(texts, whole, strict=True) if not w])
+        if not any(whole):
+            return ids, counts
+        parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+        rest = iter(self._raw([t for t, w in zip(texts, whole, strict=True) if w]))
+        all_parts = [np.frombuffer(next(rest), "<u4") if w else next(parts) for w in whole]
+        return np.concatenate(all_parts), np.array([len(x) for x in all_parts], np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -232,27 +252,31 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        seq = start = held = 0
-        doc_ids, raws = [], []
+        seq = start = 0
+        doc_ids: list[int | None] = []
+        ids, lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            lengths = np.array([len(r) // 4 for r in raws])
-            data = pack(doc_ids, lengths, np.frombuffer(b"".join(raws), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "part_start", "n_tokens", "container"])
+        def container(n_docs: int, n: int) -> pa.RecordBatch:
+            data = pack(doc_ids[:n_docs], lengths[:n_docs], ids[:n])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "part_start", "n_tokens", "container"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                for doc, raw in zip(some.column(0).to_pylist(), known.encode(some.column(1).to_pylist()), strict=True):
-                    doc_ids.append(doc)
-                    raws.append(raw + end)
-                    held += len(raws[-1]) // 4
-                    if held >= CONTAINER_IDS:
-                        yield flush()
-                        seq, start, held, doc_ids, raws = seq + 1, start + held, 0, [], []
+            for a in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(a, AT_ONCE)
+                fresh, counts = known.encode(some.column(1).to_pylist())
+                if end_id is not None:
+                    fresh, counts = np.insert(fresh, np.cumsum(counts), end_id), counts + 1
+                doc_ids += some.column(0).to_pylist()
+                ids, lengths = np.concatenate([ids, fresh.astype(np.uint32, copy=False)]), np.concatenate([lengths, counts])
+                while len(ids) >= CONTAINER_IDS:
+                    ends = np.cumsum(lengths)
+                    n_docs = int(np.searchsorted(ends, CONTAINER_IDS)) + 1
+                    n = int(ends[n_docs - 1])
+                    yield container(n_docs, n)
+                    seq, start = seq + 1, start + n
+                    doc_ids, ids, lengths = doc_ids[n_docs:], ids[n:], lengths[n_docs:]
         if doc_ids:
-            yield flush()
+            yield container(len(doc_ids), len(ids))
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(dealt.mapInArrow(run, "part int, seq int, part_start long, n_tokens long, container binary"), "token-files")
