@@ -89,6 +89,8 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.])[0-9]{9,12}(?![0-9A-Za-z])")),
 )
+#: The rest of the first generator from its separator on: cheap to look for, and within each of its matches.
+SPELLED = re.compile(rf"{AT} ?[^\W_][\w-]{{0,62}}{DOT}[^\W_]")
 #: Words near a proposal, per kind and against all of them.
 CONTEXT = {
     "email": frozenset("email mail e-mail contact write reach address correo courriel adresse".split()),
@@ -102,7 +104,7 @@ WORD = re.compile(r"[^\W\d_][\w-]*")
 
 def proposals(text: str) -> list[tuple[str, int, int, int]]:
     """Kind, start, end and generator."""
-    digits, spelled = bool(DIGIT.search(text)), "@" in text or "dot" in text or "DOT" in text or "at]" in text or "at)" in text
+    digits, spelled = bool(DIGIT.search(text)), bool(SPELLED.search(text))
     out = []
     for g, (kind, pattern) in enumerate(GENERATORS):
         if spelled if g == 0 else digits:

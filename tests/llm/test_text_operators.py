@@ -156,3 +156,12 @@ def test_added_spans(text, kind):
 @pytest.mark.parametrize("text", ["version 10.20.30.4000 of the build", "on 2024-05-17 at 10:20:30", "meet at noon. dots follow", "isbn 978-3-1614-8410-0", "page 12 34 56"])
 def test_clean_texts_are_left_alone(text):
     assert pii.judge().accepted(text, pii.base_spans(text)) == []
+
+
+@pytest.mark.parametrize("at", ["@", " @ ", " at ", " AT ", *(f"{a}{s}{w}{s}{b}" for a, b in ("[]", "()", "{}", "<>") for s in ("", " ") for w in ("at", "AT", "@"))])
+def test_every_separator_of_addresses_is_proposed_without_other_cues(at):
+    text = f"jane{at}example.com"
+    assert (("email", 0, len(text), 0)) in pii.proposals(text)
+    if at[0] in "[({<":
+        spans = pii.base_spans(text) + pii.judge().accepted(text, pii.base_spans(text))
+        assert pii.redacted(text, spans) == "[EMAIL]"
