@@ -1,16 +1,19 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-Texts are lower-cased (A-Z) and cut at ASCII white space; an end follows each. Outputs are the VOCABULARY most frequent
-training tokens and CLASSES classes of all others (by ending, script and length), within which a token has probability
-(c + 0.5) / (sum of c + 0.5, + 0.5 for unseen ones). For the two tokens before, u and v, the score of output w is
+Texts are lower-cased (A-Z) and cut at ASCII white space; an end follows each. Outputs and contexts are all training tokens
+that occur LEAST times, on large inputs sqrt(all training tokens) / ROOT times (and the VOCABULARY most frequent, on small
+ones), so the vocabulary grows with the input, about as the square root of it, as every worker holds the vectors; and CLASSES
+classes of all others (by ending, script and length), within which a token has probability (c + 0.5) / (sum of
+c + 0.5, + 0.5 for unseen ones). Outputs are in groups of about the square root of their number. For the two tokens before,
+u and v, a group g and an output w of it have the scores
 
-    s(w | u, v) = (R1[u] + R2[v]) . Q[w] + b[w]
+    s(g | u, v) = (R1[u] + R2[v]) . T[g] + c[g]        s(w | g, u, v) = (R1[u] + R2[v]) . Q[w] + b[w]
 
-where R1 and R2 are the word vectors with the matrices of their positions multiplied in. Training is noise-contrastive:
-each training token is told from NOISE tokens drawn by frequency. Every task passes over all training tokens of its part
-from a common start, and the tasks' parameters are averaged by their numbers of tokens. As exp(s) is a product of a factor
-for (u, w) and one for (v, w), the normalisers of all pairs (u, v) are one matrix product, so each token's log-probability
-is exact and takes four look-ups.
+where R1 and R2 are the word vectors with the matrices of their positions multiplied in. Training is noise-contrastive for
+both: each training token's group, and its output within the group, is told from NOISE others drawn by frequency, once a
+batch and shared by the tokens of the batch. Every task passes over all training tokens of its part from a common start,
+and each row of the parameters is averaged over the tasks by the tokens it stood for. Both normalisers are summed in full,
+so each token's log-probability is exact, in time that grows with the square root of the vocabulary.
 
 Counts cover all training tokens and are joined back exactly for every token. Defined cases: null texts count as empty and
 are an end only; no training text gives uniform scores of the unseen; repeated rows count as often as they occur; other
@@ -19,6 +22,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +36,13 @@ from prosescan.llm.chunks import dealt
 from prosescan.llm.common import text_of, written
 
 VOCABULARY, CLASSES, SIZE, NOISE, BATCH, RATE = 2000, 36, 24, 32, 4096, 0.15
+#: Occurrences from which a token has vectors of its own, or the square root of all training tokens by ROOT, whichever is more;
+#: the VOCABULARY most frequent have them anyway.
+LEAST, ROOT = 50, 36
+#: Where sums of squared gradients start: little, as a rare token's are small.
+FIRST_SQUARE = 1e-6
+#: Rows of the parameters that are averaged together.
+PART = 4096
 END = b""
 
 
@@ -47,81 +58,142 @@ def class_of(word: bytes) -> int:
     return ending * 9 + (0 if word.isascii() else 3 if word[0] > 127 else 6) + (0 if size < 5 else 1 if size < 9 else 2)
 
 
+def numbered(top: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Numbers of the vocabulary's words and of the classes of all others: by form, then count, so groups (runs of numbers) are of like words."""
+    order = sorted([(class_of(w), -n, w) for w, n in top.items()] + [(k, 1, b"") for k in range(CLASSES)])
+    return {w: k for k, (_, n, w) in enumerate(order) if n < 1}, np.array([k for k, x in enumerate(order) if x[1] == 1])
+
+
 def remainder(column: str, of: int):
     """crc32 of the id as text, modulo of."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
 
 
+def width_of(outputs: int) -> int:
+    """Outputs in a group: output k is in group k // width."""
+    return math.isqrt(max(0, outputs - 1)) + 1
+
+
 class Parameters:
-    """Vectors of contexts (two positions) and outputs, and output biases; flat for averaging."""
+    """One matrix of rows (a vector and a bias): contexts at two positions, outputs within their groups, groups."""
 
     def __init__(self, outputs: int, unigram: np.ndarray, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        n = outputs
-        self.r1, self.r2, self.q = (rng.normal(0, 0.1, (k, SIZE)).astype(np.float32) for k in (n + 1, n + 1, n))
-        self.b = np.log(unigram).astype(np.float32)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.r1, self.r2, self.q, self.b]
+        n, self.width = outputs, width_of(outputs)
+        mass = np.add.reduceat(unigram, np.arange(0, n, self.width))
+        self.at = np.cumsum([0, n + 1, n + 1, n, len(mass)])
+        self.rows = np.zeros((self.at[-1], SIZE + 1), np.float32)
+        self.rows[:, :SIZE] = np.random.default_rng(seed).normal(0, 0.1, (self.at[-1], SIZE))
+        self.rows[self.at[2] : self.at[3], SIZE] = np.log(unigram / np.repeat(mass, self.width)[:n])
+        self.rows[self.at[3] :, SIZE] = np.log(mass / mass.sum())
+        self._views()
+
+    def _views(self) -> None:
+        self.r1, self.r2, self.q, self.t = (self.rows[a:b, :SIZE] for a, b in zip(self.at, self.at[1:], strict=False))
+        self.b, self.c = self.rows[self.at[2] : self.at[3], SIZE], self.rows[self.at[3] :, SIZE]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+        return self.rows.ravel().copy()
 
     def load(self, flat: np.ndarray) -> Parameters:
-        at = 0
-        for p in self.parts():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+        self.rows[...] = flat.reshape(self.rows.shape)
         return self
 
 
-def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by index."""
-    return np.stack([np.bincount(at, c, n) for c in rows.T], 1).astype(np.float32)
-
-
 class Trainer:
     def __init__(self, p: Parameters, unigram: np.ndarray, seed: int):
-        self.p, self.rng = p, np.random.default_rng(seed)
-        self.cumulative, self.ln_noise = np.cumsum(unigram), np.log(NOISE * unigram).astype(np.float32)
-        self.squares = [np.full(x.shape[:1], 1e-2, np.float32) for x in p.parts()]
-
-    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        """One pass over a batch: contexts u and v, outputs w."""
+        self.p, self.rng, n = p, np.random.default_rng(seed), len(unigram)
+        starts = range(0, n, p.width)
+        mass = np.add.reduceat(unigram, np.array(starts))
+        #: Where a table of outputs starts (first row, vectors, biases), and its noise: of the groups, and of each group's own outputs.
+        self.groups = (p.at[3], p.t, p.c, *self._noise(mass))
+        self.within = [(p.at[2] + a, p.q[a : a + p.width], p.b[a : a + p.width], *self._noise(unigram[a : a + p.width])) for a in starts]
+        self.squares = np.full((len(p.rows), 2), FIRST_SQUARE, np.float32)
+        #: Training tokens that each row stood for.
+        self.seen = np.zeros(len(p.rows), np.float32)
+
+    @staticmethod
+    def _noise(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(mass / mass.sum()), np.log(NOISE * mass / mass.sum()).astype(np.float32)
+
+    def _move(self, first: int, at: np.ndarray, grads: np.ndarray, n: int) -> None:
+        """Only rows that occur move, by their own sums of squares."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rows, g = first + at[starts], np.add.reduceat(grads[order], starts, axis=0) / np.float32(n)
+        own = self.squares[rows]
+        own[:, 0] += np.einsum("ij,ij->i", g[:, :SIZE], g[:, :SIZE]) * np.float32(BATCH / SIZE)
+        if g.shape[1] > SIZE:
+            own[:, 1] += g[:, SIZE] ** 2 * BATCH
+        self.squares[rows] = own
+        rate = np.float32(RATE * np.sqrt(n) / 16) / np.sqrt(own)
+        g[:, :SIZE] *= rate[:, :1]
+        g[:, SIZE:] *= rate[:, 1:]
+        self.p.rows[rows, : g.shape[1]] -= g
+
+    def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, table: tuple) -> None:
+        """One pass over a batch: contexts u and v, outputs w of a table."""
         p, n = self.p, len(w)
-        context = p.r1[u] + p.r2[v]
-        target = p.q[w]
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), len(self.cumulative) - 1)
-        q_noise = p.q[noise]
-        real = 1 / (1 + np.exp(-((context * target).sum(1) + p.b[w] - self.ln_noise[w])))
-        false = 1 / (1 + np.exp(-(context @ q_noise.T + (p.b[noise] - self.ln_noise[noise])[None, :])))
+        first, q, b, cumulative, ln_noise = table
+        context, target = p.r1[u] + p.r2[v], q[w]
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(cumulative) - 1)
+        q_noise = q[noise]
+        real = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", context, target) + b[w] - ln_noise[w])))
+        false = 1 / (1 + np.exp(-(context @ q_noise.T + (b[noise] - ln_noise[noise])[None, :])))
         d_real = (real - 1)[:, None]
         d_context = d_real * target + false @ q_noise
-        outputs = len(p.b)
-        grads = [
-            summed(u, d_context, outputs + 1), summed(v, d_context, outputs + 1),
-            summed(w, d_real * context, outputs) + summed(noise, false.T @ context, outputs),
-            (np.bincount(w, real - 1, outputs) + np.bincount(noise, false.sum(0), outputs)).astype(np.float32),
-        ]
-        for x, g, s in zip(p.parts(), grads, self.squares, strict=True):
-            g /= n
-            s += (g * g).mean(1) * BATCH if g.ndim == 2 else g * g * BATCH
-            rate = RATE / np.sqrt(s) / np.sqrt(BATCH / n)
-            x -= (rate[:, None] if g.ndim == 2 else rate) * g * np.float32(np.sqrt(BATCH) / 16)
+        d_output = np.concatenate([np.hstack([d_real * context, d_real]), np.hstack([false.T @ context, false.sum(0)[:, None]])])
+        self._move(0, u, d_context, n)
+        self._move(p.at[1], v, d_context, n)
+        self._move(first, np.concatenate([w, noise]), d_output, n)
+
+    def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        """Batches of tokens for the groups, then batches of each group's tokens for its outputs."""
+        width, at = self.p.width, self.p.at
+        group, place = w // width, w % width
+        for first, x in ((0, u), (at[1], v), (at[2], w), (at[3], group)):
+            np.add.at(self.seen, first + x, 1)
+        order = self.rng.permutation(len(w))
+        for a in range(0, len(order), BATCH):
+            k = order[a : a + BATCH]
+            self.step(u[k], v[k], group[k], self.groups)
+        order = order[np.argsort(group[order], kind="stable")]
+        bounds = np.searchsorted(group[order], np.arange(len(self.within) + 1))
+        for g in self.rng.permutation(len(self.within)):
+            for a in range(bounds[g], bounds[g + 1], BATCH):
+                k = order[a : min(a + BATCH, bounds[g + 1])]
+                self.step(u[k], v[k], place[k], self.within[g])
 
 
 class Scorer:
-    """Log-probabilities of outputs under two contexts; all normalisers from one matrix product."""
+    """Log-probabilities of outputs under two contexts: of the group, and of the output in its group, each with its exact normaliser."""
 
     def __init__(self, flat: np.ndarray, outputs: int):
-        p = Parameters(outputs, np.ones(outputs)).load(flat)
-        self.s1, self.s2, self.b = p.r1 @ p.q.T, p.r2 @ p.q.T, p.b
-        top1, top2 = self.s1.max(1), self.s2.max(1)
-        z = (np.exp(self.s1 - top1[:, None]) * np.exp(p.b)[None, :]) @ np.exp(self.s2 - top2[:, None]).T
-        self.ln_z = np.log(z) + top1[:, None] + top2[None, :]
+        self.p = Parameters(outputs, np.ones(outputs)).load(flat)
+
+    @staticmethod
+    def _of(context: np.ndarray, q: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        s = context @ q.T
+        s += b
+        s -= s.max(1)[:, None]
+        own = s[np.arange(len(w)), w].astype(np.float64)
+        np.exp(s, out=s)
+        return own - np.log(s.sum(1))
 
     def __call__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return self.s1[u, w].astype(np.float64) + self.s2[v, w] + self.b[w] - self.ln_z[u, v]
+        p, out = self.p, np.empty(len(w))
+        width, group = p.width, w // p.width
+        order = np.argsort(group, kind="stable")
+        for a in range(0, len(w), BATCH):
+            k = order[a : a + BATCH]
+            context, of = p.r1[u[k]] + p.r2[v[k]], group[k]
+            got = self._of(context, p.t, p.c, of)
+            bounds = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                own = slice(of[x] * width, (of[x] + 1) * width)
+                got[x:y] += self._of(context[x:y], p.q[own], p.b[own], w[k[x:y]] - own.start)
+            out[k] = got
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -156,62 +228,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trained(train: DataFrame, vocabulary: dict[bytes, int], unigram: np.ndarray) -> np.ndarray:
-    """Parameters after a pass over all training tokens, averaged over the tasks."""
-    outputs, start = len(unigram), Parameters(len(unigram), unigram).flat()
+def trained(train: DataFrame, known_outputs: dict[bytes, int], rest: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """Parameters after a pass over all training tokens; each row averaged over the tasks by the tokens it stood for there."""
+    outputs = len(unigram)
+    start = Parameters(outputs, unigram)
+    n_rows = len(start.rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trainer, known = Trainer(Parameters(outputs, unigram).load(start), unigram, TaskContext.get().partitionId()), dict(vocabulary)
-        held, size, seen = [], 0, 0
-
-        def learn() -> None:
-            ids = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = trainer.rng.permutation(len(ids[2]))
-            for a in range(0, len(order), BATCH):
-                at = order[a : a + BATCH]
-                trainer.step(ids[0][at], ids[1][at], ids[2][at])
-
+        task = TaskContext.get().partitionId()
+        trainer, known = Trainer(Parameters(outputs, unigram), unigram, task), dict(known_outputs)
+        held, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens(text)
-                if len(known) > 300_000:
-                    known = dict(vocabulary)
+                if len(known) > len(known_outputs) + 300_000:
+                    known = dict(known_outputs)
                 for w in words:
                     if w not in known:
-                        known[w] = len(vocabulary) + class_of(w)
+                        known[w] = rest[class_of(w)]
                 ids = np.array([known[w] for w in words])
-                u, v = contexts(ids, outputs)
-                held.append((u, v, ids))
+                held.append((*contexts(ids, outputs), ids))
                 size += len(ids)
                 if size > 50 * BATCH:
-                    learn()
-                    held, size, seen = [], 0, seen + size
+                    trainer.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
         if held:
-            learn()
-        if seen + size:
-            flat = trainer.p.flat().astype(np.float64) * (seen + size)
-            parts = np.array_split(flat, 16)
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * 16, pa.int32()), pa.array([float(seen + size)] * 16), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "task", "weight", "sums"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column("sums"))
-        return pa.table({"part": t.column("part")[:1].cast(pa.int32()), "task": pa.array([0], pa.int32()), "weight": pa.array([float(sum(t.column("weight").to_pylist()))]), "sums": pa.array([total.tobytes()], pa.binary())})
+            trainer.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        rows = np.flatnonzero(trainer.seen)
+        bounds = np.searchsorted(rows, np.arange(0, len(trainer.seen) + PART, PART))
+        for part, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a < b:
+                at, seen = rows[a:b], trainer.seen[rows[a:b]]
+                yield packed(part, task % 64, at, seen, trainer.p.rows[at] * seen[:, None])
 
-    schema = "part int, task int, weight double, sums binary"
-    sums = train.select("text").mapInArrow(run, schema).groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
-    return np.concatenate([np.frombuffer(bytes(r.sums), np.float64) / r.weight for r in sums]).astype(np.float32) if sums else start
+    def packed(part: int, task: int, at: np.ndarray, seen: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int64), seen.astype(np.float64), sums.astype(np.float32)))], ["part", "task", "at", "seen", "sums"])
 
-
-def score(docs: DataFrame, *, of: int = 5, held_out: int = 1, vocabulary_size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        size = min(PART, n_rows - part * PART)
+        seen, sums = np.zeros(size), np.zeros((size, SIZE + 1))
+        for a, n, x in zip(*(t.column(c).to_pylist() for c in ("at", "seen", "sums")), strict=True):
+            at = np.frombuffer(a, np.int64) - part * PART
+            seen[at] += np.frombuffer(n, np.float64)
+            sums[at] += np.frombuffer(x, np.float32).reshape(len(at), SIZE + 1)
+        at = np.flatnonzero(seen)
+        return pa.Table.from_batches([packed(part, 0, at + part * PART, seen[at], sums[at])])
+
+    schema = "part int, task int, at binary, seen binary, sums binary"
+    out = start.rows
+    for r in train.select("text").mapInArrow(run, schema).groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect():
+        at = np.frombuffer(bytes(r["at"]), np.int64)
+        out[at] = np.frombuffer(bytes(r.sums), np.float32).reshape(len(at), SIZE + 1) / np.frombuffer(bytes(r.seen), np.float64)[:, None]
+    return start.flat()
+
+
+def score(docs: DataFrame, *, of: int = 5, held_out: int = 1, vocabulary_size: int = VOCABULARY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     train = own.where(remainder("doc_id", of) != held_out)
     counts = written(word_counts(train), "word-counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
-    vocabulary = {bytes(r.word): k for k, r in enumerate(top)}
+    often = counts.where(F.col("n") >= max(least, math.isqrt(n_all) // ROOT))
+    top = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary_size).union(often).collect()}
+    vocabulary, rest = numbered(top)
     outputs = len(vocabulary) + CLASSES
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +307,10 @@ def score(docs: DataFrame, *, of: int = 5, held_out: int = 1, vocabulary_size: i
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.mapInArrow(classed, "class int, n double, kinds double").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
         mass[r["class"]], kinds[r["class"]] = r.n, r.kinds
-    unigram = np.concatenate([np.array([r.n for r in top], float), mass + 0.5])
+    unigram = np.empty(outputs)
+    unigram[[vocabulary[w] for w in top]], unigram[rest] = list(top.values()), mass + 0.5
     unigram /= unigram.sum()
-    flat = trained(train, vocabulary, unigram).tobytes()
+    flat = trained(train, vocabulary, rest, unigram).tobytes()
     ln_class = np.log(mass + 0.5 * kinds + 0.5)
     base_of = n_all + 0.5 * (v_all + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -242,17 +325,34 @@ def score(docs: DataFrame, *, of: int = 5, held_out: int = 1, vocabulary_size: i
     def scores(t: pa.Table, dictionary: pa.Table) -> pa.Table:
         words, c = dictionary.column("word").to_pylist(), dictionary.column("n").to_numpy().astype(np.float64)
         place = {w: k for k, w in enumerate(words)}
-        out = np.array([vocabulary[w] if w in vocabulary else len(vocabulary) + class_of(w) for w in words], np.int64)
-        rare = out >= len(vocabulary)
-        within = np.where(rare, np.log(c + 0.5) - ln_class[np.where(rare, out - len(vocabulary), 0)], 0.0)
+        rare = np.array([w not in vocabulary for w in words], bool)
+        form = np.array([class_of(w) if r else 0 for w, r in zip(words, rare, strict=True)], np.int64)
+        out = np.array([vocabulary.get(w, -1) for w in words], np.int64)
+        out[rare] = rest[form[rare]]
+        within = np.where(rare, np.log(c + 0.5) - ln_class[form], 0.0)
         base = np.log10((c + 0.5) / base_of)
-        model, rows = scorer(flat, outputs), []
+        model, rows, held = scorer(flat, outputs), [], []
+
+        def ready() -> None:
+            """Scores of the texts held, of all their tokens at once."""
+            ids = [out[at] for at in held]
+            pairs = [contexts(x, outputs) for x in ids]
+            got = model(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)), np.concatenate(ids))
+            ends = np.cumsum([len(x) for x in ids])
+            for at, own in zip(held, np.split(got, ends[:-1]), strict=True):
+                rows.append((len(at), int((c[at] > 0).sum()), base[at].sum(), (own + within[at]).sum() / np.log(10)))
+            held.clear()
+
+        size = 0
         for column in t.column("text").chunks:
             for text in column.to_pylist():
-                at = np.array([place[w] for w in tokens(text)])
-                ids = out[at]
-                u, v = contexts(ids, outputs)
-                rows.append((len(at), int((c[at] > 0).sum()), base[at].sum(), (model(u, v, ids) + within[at]).sum() / np.log(10)))
+                held.append(np.array([place[w] for w in tokens(text)]))
+                size += len(held[-1])
+                if size > 50 * BATCH:
+                    ready()
+                    size = 0
+        if held:
+            ready()
         n, known, b, s = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.Table.from_arrays([t.column("doc_id"), t.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([n_all] * len(rows), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], names)
 

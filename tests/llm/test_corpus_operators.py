@@ -175,6 +175,17 @@ def test_probabilities_sum_to_one():
         assert np.exp(scores(np.full(20, u), np.full(20, v), np.arange(20))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_beyond_the_most_frequent_have_contexts(spark):
+    """Two topics of like words, all rarer than ten others: a model that knows them only as a class gives each 1 / 80 at best."""
+    rng = np.random.default_rng(3)
+    name = lambda k: "".join("bcdfghklmnprst"[k // 14**j % 14] for j in range(4))
+    common, topics = [name(k) for k in range(10)], [[name(k) for k in range(a, a + 40)] for a in (10, 50)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(500) for words in topics] + [" ".join(rng.choice(common, 200)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    own = [r.score / r.n_tokens for r in logbilinear.score(docs, vocabulary_size=10).where("held_out and doc_id < 1000").collect()]
+    assert len(own) > 100 and np.mean(own) > -math.log10(80) + 0.05
+
+
 def test_pipeline(spark, real):
     stages = dict(corpus_pipeline.STAGES)
     sf = "/root/testdata/sf0.001"
