@@ -132,12 +132,15 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), ratio: float =
     return laid.select("doc_id", "source_ix", "size", "source_size", "target", (F.col("passes") * F.col("size") + chosen).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents, with the columns of docs: each document as often as its taken words, rounded to whole copies, say.
+def mixed_documents(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
+    """The mix as documents, with the columns of docs: each document in whole copies, as many as its taken words make, the
+    fraction left as one more by a seeded draw with that probability, so sources keep their expected totals at any length.
 
-    Rows that agree in id and size take the same number of copies (the least that any of them got).
+    Rows that agree in id and size take the same number of copies (by the mean of what they got).
     """
-    got = mix(docs.select("doc_id", "text", "source"), **options).where("size > 0")
-    keyed = got.groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.min(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).alias("m_copies")).where("m_copies > 0")
+    got = mix(docs.select("doc_id", "text", "source"), seed=seed, **options).where("size > 0")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("copies"), F.coalesce(F.col("m_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(2**32)
+    copies = F.floor(F.col("m_taken") / F.col("m_size") + drawn).cast("int").alias("m_copies")
+    keyed = got.groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.avg("taken").alias("m_taken")).select("m_id", "m_size", copies).where("m_copies > 0")
     sized = docs.withColumn("m_words", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
     return sized.join(keyed, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size"))).withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -43,6 +43,15 @@ def test_mixing(real, docs, no_docs):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_whole_copies_of_long_documents_keep_the_targets(spark):
+    rows = [(k, "w " * 5000, "a") for k in range(300)] + [(k, "w " * 500, "b") for k in range(300, 3300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"weights": (1, 9), "ratio": 0.8}
+    target = {r.source_ix: r.target for r in mixing.mix(docs, **options).select("source_ix", "target").distinct().collect()}
+    words = {r.source: 5000 * r["count"] if r.source == "a" else 500 * r["count"] for r in mixing.mixed_documents(docs, **options).groupBy("source").count().collect()}
+    assert abs(words.get("a", 0) - target[0]) < 0.25 * target[0] and abs(words["b"] - target[1]) < 0.05 * target[1]
+
+
 def links_by_brute_force(rows):
     grams = ngramjoin.Grams()
     sets = [(i, set(grams(t or "").tolist())) for i, t in rows]
