@@ -1,7 +1,7 @@
 """From documents to encoded training data: toxicity, near duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents; the
-last returns a row per document of the mix with its encoding. Stages are written as Parquet and read again between.
+last returns a row per document of the mix with its ids. Stages are written as Parquet and read again between.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [

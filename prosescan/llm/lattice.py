@@ -258,7 +258,7 @@ def lattice(path: str) -> Lattice:
 
 def encode(docs: DataFrame, model_path: str, *, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and round_trip (whether decoding gives
-    the text back) for every document; with_ids adds the ids."""
+    the text back, a mark of its own as a space) for every document; with_ids adds the ids."""
     names = ["doc_id", "n_pieces", "ids_crc32", "round_trip", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

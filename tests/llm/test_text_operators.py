@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -62,6 +63,12 @@ def test_containers(n):
         tokenfile.Container(b"\0" * 64)
 
 
+def test_pipeline_keeps_the_ids(spark):
+    texts = ["a b", "", " ", "日 \n<s> é\U0001f600", "  x  "]
+    out = corpus_pipeline.encode(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    assert len(out) == len(texts) and all(r.round_trip and lattice.decoded(np.array(r.ids, int), PIECES) == texts[r.doc_id] for r in out)
+
+
 def test_sentencepiece(docs, no_docs, spark):
     library = tokencount.processor(PIECES)
     rng = random.Random(4)
