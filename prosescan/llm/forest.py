@@ -9,14 +9,14 @@ Rows are dealt by hash into blocks, each with its own forest, and queries into s
 row is indexed and no group grows with the input. How large a share of a block is enough is fitted on a bounded sample
 (SAMPLE rows): the least share of SHARES at which the forest finds GOAL of the sample's true neighbours.
 
-Defined cases: rows with null ids, null, empty or zero vectors, or null or non-finite components take no part, nor do
-vectors of another length than the sample's most frequent one; ties go to the smaller id; a row with a query's own id is
-never its neighbour; repeated rows are returned once; fewer rows than k give all; an empty table gives no rows.
+Defined cases: rows with null ids, null, empty or zero vectors, or null or non-finite components take no part;
+vectors of each length have forests of their own and are answered among themselves; ties go to the smaller id; a row with
+a query's own id is never its neighbour; repeated rows are returned once; fewer rows than k give all; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +113,17 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
     """query_id, rank, vec_id and score of the k nearest found for every row whose id is divisible by every."""
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
     own = own.where(F.when(F.col("v").isNotNull(), usable(F.col("v"))).otherwise(False))
+    lengths = [r.n for r in own.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()] or [0]
+    found = reduce(DataFrame.union, [_of_length(own.where(F.size("v") == n), n, k, every, block, queries) for n in lengths])
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    ranked = found.distinct().groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
+    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+
+
+def _of_length(own: DataFrame, length: int, k: int, every: int, block: int, queries: int) -> DataFrame:
+    """query_id, vec_id and score of what the blocks find among vectors of one length."""
     sample = [r.v for r in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    length = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
-    sample = [v for v in sample if len(v) == length]
     share = fitted_share(np.array(sample, np.float64).reshape(len(sample), length), k)
-    own = own.where(F.size("v") == length)
     asked = own.where(F.col("vec_id") % every == 0)
     n, m = own.count(), asked.count()
     blocks, sets = max(1, -(-n // block)), max(1, -(-m // queries))
@@ -130,7 +136,4 @@ def search(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "ve
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = rows.select("block", "set", "vec_id", "v").groupBy("block", "set").cogroup(asks.select("block", "set", "vec_id", "v").groupBy("block", "set")).applyInArrow(answer, "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    ranked = found.distinct().groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    return rows.select("block", "set", "vec_id", "v").groupBy("block", "set").cogroup(asks.select("block", "set", "vec_id", "v").groupBy("block", "set")).applyInArrow(answer, "query_id long, vec_id long, score double")

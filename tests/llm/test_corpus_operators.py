@@ -137,6 +137,12 @@ def test_neighbours_edges(spark):
     assert forest.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    rows = [(k, [1.0, k / 100, 0.0]) for k in range(30)] + [(k, [1.0, k / 100]) for k in range(50, 70)] + [(100, [2.0])]
+    got = forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (50, 1, 51), (50, 2, 52)]
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(3)
     x = rng.random((2000, 3))
