@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes of that column of strings at most (one row at least), and of rows rows."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
+    a = 0
+    while a < batch.num_rows:
+        before = int(ends[a - 1]) if a else 0
+        b = min(max(a + 1, int(np.searchsorted(ends, before + size, "right"))), a + rows, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
