@@ -4,14 +4,18 @@ A container holds documents' token ids in order:
 
     magic | sizes of the parts | documents (id, number of tokens) | frequency table | block directory | blocks
 
-One frequency table (summing to 2**PRECISION) is shared by all blocks of a container. A block codes its ids in ``lanes``
-interleaved states, so that a step handles one id per lane; it stands alone: it has its final states, its words, a
-checkpoint of all states in its middle (decoding may start there) and the CRC-32 of its ids. Blocks decode in any
-order, in parallel. A wrong checksum raises.
+One frequency table (summing to 2**PRECISION) is shared by all blocks of a container, 16 and more in a full one. A block codes
+its ids in ``lanes`` interleaved states, so that a step handles one id per lane. It stands alone: it has its final states, its
+words, a checkpoint of all states in its middle, and a CRC-32 of the ids of each half. Decoding may start at any block or
+checkpoint; ``Container.blocks`` decodes any set of them side by side, all halves as lanes of one step, and a first half must
+end in the states of the checkpoint. A wrong checksum raises, for halves read alone too.
 
 As Spark carries bytes to any store that it can write, a file set is a Parquet table of containers with the number of
 the range of documents each comes from and its start in that range; ranges ascend with the document id.
 
+Scale: texts are shuffled once, into ranges of ids; a worker holds the ids of a container and of a slice of SLICE_BYTES of text,
+and the ids of REMEMBERED pieces. Containers are read independently; the driver sees a row per range.
+
 Defined cases: null texts count as empty; an empty text has the end id only; repeated ids stand next to each other,
 ordered by text; null ids come first; an empty table gives no containers and no rows; other columns aren't read.
 """
@@ -34,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.llm.common import text_of, written
+from prosescan.llm.common import slices, text_of, written
 
 MAGIC, HEAD = b"PSRA", struct.Struct("<4sQQQQQ")
 #: Bits of the frequencies; least state; ids in a block at most; lanes at most; ids in a container at least, but for the last of a range.
-PRECISION, LOW, BLOCK_IDS, LANES, CONTAINER_IDS = 18, np.uint64(1 << 31), 1 << 20, 4096, 1 << 20
-#: Distinct pieces of text whose ids a worker remembers; documents encoded at once.
-REMEMBERED, AT_ONCE = 900_000, 2000
+PRECISION, LOW, BLOCK_IDS, LANES, CONTAINER_IDS = 18, np.uint64(1 << 31), 1 << 16, 256, 1 << 20
+#: Distinct pieces of text whose ids a worker remembers; bytes of text encoded at once.
+REMEMBERED, SLICE_BYTES = 900_000, 8_000_000
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -62,52 +66,63 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return f
 
 
-def _encode_block(index: np.ndarray, f: np.ndarray, cum: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Lanes, final states, words, states in the middle and the words read up to there."""
-    lanes = max(1, min(LANES, len(index) // 64))
-    steps = -(-len(index) // lanes)
-    last = len(index) - (steps - 1) * lanes  # lanes that have an id in the last step
-    shift, mask = np.uint64(PRECISION), np.uint64(0xFFFFFFFF)
+def _encode_blocks(index: np.ndarray, f: np.ndarray, cum: np.ndarray, blocks: int) -> list[tuple]:
+    """Equal blocks, side by side. Of each: ids, lanes, words, words of the first half, and the bytes of final states, states in the middle and words."""
+    n = len(index) // blocks
+    lanes = max(1, min(LANES, n // 64))
+    steps = -(-n // lanes)
+    last = n - (steps - 1) * lanes  # lanes that have an id in the last step
+    if blocks > 1:
+        if last != lanes:
+            raise ValueError("blocks side by side fill their steps")
+        index = index.reshape(blocks, steps, lanes).transpose(1, 0, 2).ravel()
+    width, shift, mask = blocks * lanes, np.uint64(PRECISION), np.uint64(0xFFFFFFFF)
     fs, cs = f[index], cum[index]
     limit = fs << np.uint64(63 - PRECISION)
-    x = np.full(lanes, LOW)
-    out, middle = [], (steps // 2, x)
+    x, middle = np.full(width, LOW), steps // 2
+    out, n_out, states = [], np.zeros((steps, blocks), np.int64), np.full(width, LOW)
     for t in range(steps - 1, -1, -1):
-        n = last if t == steps - 1 else lanes
-        at = slice(t * lanes, t * lanes + n)
-        own = x[:n]
+        k = last if t == steps - 1 and blocks == 1 else width
+        at = slice(t * width, t * width + k)
+        own = x[:k]
         over = own >= limit[at]
         out.append((own[over] & mask).astype(np.uint32))
+        n_out[t] = np.add.reduceat(over, np.arange(0, k, lanes), dtype=np.int64)
         own = np.where(over, own >> np.uint64(32), own)
         div = own // fs[at]
-        x[:n] = (div << shift) + (own - div * fs[at]) + cs[at]
-        if t == middle[0]:
-            middle = (t, x.copy())
-            read = len(out)
-    words = np.concatenate(out[::-1]) if out else np.empty(0, np.uint32)
-    return lanes, x, words, middle[1], len(words) - sum(map(len, out[:read]))
-
-
-def _decode_block(n: int, lanes: int, x: np.ndarray, words: np.ndarray, slots: np.ndarray, f: np.ndarray, cum: np.ndarray, first: int = 0) -> np.ndarray:
-    """Symbols from step first on, given the states there and the words not yet read."""
-    steps = -(-n // lanes)
-    last = n - (steps - 1) * lanes
+        x[:k] = (div << shift) + (own - div * fs[at]) + cs[at]
+        if t == middle:
+            states = x.copy()
+    words = np.concatenate(out[::-1])
+    words = words[np.argsort(np.repeat(np.tile(np.arange(blocks, dtype=np.uint8), steps), n_out.ravel()), kind="stable")]
+    ends, read = np.cumsum(n_out.sum(0)), n_out[:middle].sum(0)
+    parts = zip(x.reshape(blocks, lanes), states.reshape(blocks, lanes), np.split(words, ends[:-1]), read.tolist(), strict=True)
+    return [(n, lanes, len(w), r, b"".join((a.astype("<u8").tobytes(), m.astype("<u8").tobytes(), w.astype("<u4").tobytes()))) for a, m, w, r in parts]
+
+
+def _decode(x: np.ndarray, words: np.ndarray, at: np.ndarray, steps: int, last: int, slots: np.ndarray, f: np.ndarray, cum: np.ndarray) -> np.ndarray:
+    """Symbols, a row per step, of as many runs of words (at: where each starts) as there are rows of states; x ends as the states after the
+    last step, which only the first ``last`` lanes of a single run need have."""
+    runs, lanes = x.shape
     shift, mask = np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1)
-    x, at = x.copy(), 0
-    out = np.empty((steps - first) * lanes, np.uint32)
-    for t in range(first, steps):
-        k = last if t == steps - 1 else lanes
-        own = x[:k]
+    flat, at = x.reshape(-1), at.copy()
+    out = np.empty((steps, runs * lanes), np.uint32)
+    for t in range(steps):
+        k = last if t == steps - 1 and runs == 1 else runs * lanes
+        own = flat[:k]
         low = own & mask
         s = slots[low]
-        out[(t - first) * lanes : (t - first) * lanes + k] = s
+        out[t, :k] = s
         own = f[s] * (own >> shift) + low - cum[s]
-        under = own < LOW
-        m = int(np.count_nonzero(under))
-        own[under] = (own[under] << np.uint64(32)) | words[at : at + m]
-        at += m
-        x[:k] = own
-    return out[: n - first * lanes]
+        under = np.flatnonzero(own < LOW)
+        n = np.bincount(under // lanes, minlength=runs)
+        next_words = np.arange(len(under)) + np.repeat(at - np.cumsum(n) + n, n)
+        if len(under) and next_words[-1] >= len(words):
+            raise ValueError("the words of a block end too early")
+        own[under] = (own[under] << np.uint64(32)) | words[next_words]
+        at += n
+        flat[:k] = own
+    return out
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -119,12 +134,15 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     place[symbols] = np.arange(len(symbols))
     index, f64 = place[ids], f.astype(np.uint64)
     cum = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64)
-    entries, blocks = [], []
-    for a in range(0, len(ids), BLOCK_IDS):
-        part = ids[a : a + BLOCK_IDS]
-        lanes, x, words, middle, read = _encode_block(index[a : a + BLOCK_IDS], f64, cum)
-        entries.append((len(part), lanes, len(words), read, zlib.crc32(part.astype("<u4").tobytes())))
-        blocks.append(x.astype("<u8").tobytes() + middle.astype("<u8").tobytes() + words.astype("<u4").tobytes())
+    entries, blocks, full = [], [], len(ids) // BLOCK_IDS
+    parts = _encode_blocks(index[: full * BLOCK_IDS], f64, cum, full) if full else []
+    if len(ids) % BLOCK_IDS:
+        parts += _encode_blocks(index[full * BLOCK_IDS :], f64, cum, 1)
+    raw = memoryview(ids.astype("<u4").tobytes())
+    for k, (n, lanes, words, read, data) in enumerate(parts):
+        a, half = k * BLOCK_IDS, k * BLOCK_IDS + -(-n // lanes) // 2 * lanes
+        entries.append((n, lanes, words, read, zlib.crc32(raw[4 * a : 4 * half]), zlib.crc32(raw[4 * half : 4 * (a + n)])))
+        blocks.append(data)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = zlib.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + lengths.astype("<u4").tobytes(), 1)
     table = zlib.compress(symbols.astype("<u4").tobytes() + f.astype("<u4").tobytes(), 1)
@@ -133,7 +151,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
 
 
 class Container:
-    """Reads a container; any block, or its second half alone, can be read without the others."""
+    """Reads a container; any blocks, or the second half of one alone, can be read without the others."""
 
     def __init__(self, data: bytes):
         magic, n_docs, docs, n_symbols, table, n_blocks = HEAD.unpack_from(data)
@@ -149,27 +167,56 @@ class Container:
         self.symbols, f = both[:n_symbols], both[n_symbols:].astype(np.uint64)
         self.f, self.cum = f, (np.cumsum(f) - f).astype(np.uint64)
         self.slots = np.repeat(np.arange(n_symbols, dtype=np.uint32), f.astype(np.int64))
-        self.directory = np.frombuffer(data, "<u8", 5 * n_blocks, at).reshape(n_blocks, 5).astype(np.int64)
-        self.data, at, self.places = data, at + 40 * n_blocks, []
-        for _, lanes, words, _, _ in self.directory:
+        self.directory = np.frombuffer(data, "<u8", 6 * n_blocks, at).reshape(n_blocks, 6).astype(np.int64)
+        self.data, at, self.places = data, at + 48 * n_blocks, []
+        for lanes, words in self.directory[:, 1:3].tolist():
             self.places.append(at)
-            at += 16 * int(lanes) + 4 * int(words)
-
-    def block(self, k: int, half: bool = False) -> np.ndarray:
-        """Ids of block k; half: from the checkpoint on."""
-        n, lanes, words, read, crc = map(int, self.directory[k])
-        at = self.places[k]
-        states = np.frombuffer(self.data, "<u8", 2 * lanes, at).astype(np.uint64)
-        stream = np.frombuffer(self.data, "<u4", words, at + 16 * lanes).astype(np.uint64)
-        if half:
-            return self.symbols[_decode_block(n, lanes, states[lanes:], stream[read:], self.slots, self.f, self.cum, -(-n // lanes) // 2)]
-        out = self.symbols[_decode_block(n, lanes, states[:lanes], stream, self.slots, self.f, self.cum)]
-        if zlib.crc32(out.astype("<u4").tobytes()) != crc:
+            at += 16 * lanes + 4 * words
+
+    def _parts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The states at the start and in the middle, and the words of a block."""
+        _, lanes, words = self.directory[k, :3].tolist()
+        states = np.frombuffer(self.data, "<u8", 2 * lanes, self.places[k]).astype(np.uint64).reshape(2, lanes)
+        return states, np.frombuffer(self.data, "<u4", words, self.places[k] + 16 * lanes).astype(np.uint64)
+
+    def _checked(self, k: int, half: int, ids: np.ndarray) -> np.ndarray:
+        if zlib.crc32(ids.astype("<u4").tobytes()) != self.directory[k, 4 + half]:
             raise ValueError(f"block {k} has a wrong checksum")
-        return out
+        return ids
+
+    def half(self, k: int, h: int) -> np.ndarray:
+        """Ids of a half of block k, read from its start or from the checkpoint on."""
+        n, lanes, _, read = self.directory[k, :4].tolist()
+        steps, (states, words) = -(-n // lanes), self._parts(k)
+        first = steps // 2
+        own = steps - first if h else first
+        last = n - (steps - 1) * lanes if h else lanes
+        x = states[h : h + 1].copy()
+        out = _decode(x, words[read:] if h else words[:read], np.zeros(1, np.int64), own, last, self.slots, self.f, self.cum).ravel()
+        if not h and (x != states[1]).any():
+            raise ValueError(f"block {k} doesn't lead to its checkpoint")
+        return self._checked(k, h, self.symbols[out[: n - first * lanes if h else first * lanes]])
+
+    def blocks(self, ks: list[int]) -> list[np.ndarray]:
+        """Ids of these blocks: full ones side by side, both halves of each at once."""
+        whole = [k for k in ks if self.directory[k, 0] == BLOCK_IDS and self.directory[k, 1] == LANES]
+        out = {}
+        if whole:
+            parts, read = [self._parts(k) for k in whole], self.directory[whole, 3]
+            ends = np.cumsum([len(w) for _, w in parts])
+            starts = np.concatenate([[0], ends[:-1]])
+            at = np.stack([starts, starts + read], 1).ravel()
+            x = np.concatenate([s for s, _ in parts])
+            got = _decode(x, np.concatenate([w for _, w in parts]), at, BLOCK_IDS // LANES // 2, LANES, self.slots, self.f, self.cum)
+            got = got.reshape(-1, len(whole), 2, LANES).transpose(1, 2, 0, 3).reshape(len(whole), 2, -1)
+            for k, halves, end, (states, _) in zip(whole, got, x.reshape(len(whole), 2, LANES), parts, strict=True):
+                if (end[0] != states[1]).any():
+                    raise ValueError(f"block {k} doesn't lead to its checkpoint")
+                out[k] = np.concatenate([self._checked(k, h, self.symbols[halves[h]]) for h in (0, 1)])
+        return [out[k] if k in out else np.concatenate([self.half(k, 0), self.half(k, 1)]) for k in ks]
 
     def ids(self) -> np.ndarray:
-        return np.concatenate([self.block(k) for k in range(len(self.places))]) if self.places else np.empty(0, np.uint32)
+        return np.concatenate(self.blocks(list(range(len(self.places))))) if self.places else np.empty(0, np.uint32)
 
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -261,8 +308,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "part_start", "n_tokens", "container"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(a, AT_ONCE)
+            for some in slices(batch, 1, SLICE_BYTES):
                 fresh, counts = known.encode(some.column(1).to_pylist())
                 if end_id is not None:
                     fresh, counts = np.insert(fresh, np.cumsum(counts), end_id), counts + 1

@@ -28,11 +28,35 @@ def test_prefix_counts_and_budgets():
     for _ in range(60):
         text = "".join(rng.choice(["in", "the", " ", "  ", "\n", "é", "日", "▁", "<s>", ".", "token"]) for _ in range(rng.randint(0, 15)))
         want = [len(library.encode(text[:k])) for k in range(len(text) + 1)]
-        assert counts.prefixes(text) == want and counts.total(text) == want[-1]
+        assert counts.prefixes(text) == want
         budget = rng.randint(0, 12)
         assert counts.longest(text, budget) == next((k - 1 for k, n in enumerate(want) if n > budget), len(text))
 
 
+def test_prefix_tables_of_documents(docs, real, no_docs):
+    """The table's entries at cuts of whole documents, its budgets and the query's columns against the library."""
+    library, rng = tokencount.processor(PIECES), random.Random(6)
+    texts = [t or "" for t, in docs.unionByName(real.limit(30), allowMissingColumns=True).select("text").collect()]
+    table, lengths = tokencount.PrefixCounts(PIECES).tables(texts)
+    assert lengths.tolist() == [len(t) for t in texts]
+    ends = np.cumsum(lengths)
+    for text, a, b in zip(texts, (ends - lengths).tolist(), ends.tolist(), strict=True):
+        for k in {len(text), *(rng.randint(0, len(text)) for _ in range(5))} - {0}:
+            assert table[a + k - 1] == len(library.encode(text[:k]))
+    for budget in (0, 3, 50, 4096):
+        want = [next((int(k) for k in np.flatnonzero(table[a:b] > budget)), b - a) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        assert tokencount.fitting(table, lengths, budget).tolist() == want
+    rows = tokencount.prefix_tables(docs, PIECES).join(docs.select("doc_id", "text"), "doc_id")
+    for r in rows.select("text", "counts", tokencount.tokens_of_prefix(rows["counts"], 7).alias("seven"), tokencount.chars_within(rows["counts"], 5).alias("five")).collect():
+        if r.text and r.text.startswith("x" * 5000):
+            continue  # two equal rows share this id
+        want = [len(library.encode((r.text or "")[:k])) for k in range(min(40, len(r.text or "")) + 1)]
+        assert r.counts[: len(want)] == want and r.seven == want[min(7, len(want) - 1)] and r.five == next((k - 1 for k, n in enumerate(r.counts) if n > 5), len(r.text or ""))
+    got = tokencount.count_tokens(docs, PIECES, limit=40).collect()
+    assert all(r.over_limit == (r.n_tokens > 40) for r in got) and any(r.over_limit for r in got)
+    assert tokencount.prefix_tables(no_docs, PIECES).count() == 0
+
+
 def test_token_files(docs, no_docs):
     library = tokenfile.tokenizer(BYTES)
     got = tokenfile.read_files(tokenfile.write_files(docs, BYTES)).orderBy("start").collect()
@@ -45,20 +69,27 @@ def test_token_files(docs, no_docs):
     assert tokenfile.read_files(tokenfile.write_files(no_docs, BYTES)).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 5000, 300_000])
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 5000, 300_000, 1 << 20])
 def test_containers(n):
     ids = (np.random.default_rng(n).zipf(1.4, n) % 50257).astype("<u4")
     data = tokenfile.pack([None, 5], np.array([n // 3, n - n // 3]), ids)
     box = tokenfile.Container(data)
     assert box.doc_ids == [None, 5] and box.lengths.tolist() == [n // 3, n - n // 3] and (box.ids() == ids).all()
-    if n:
-        half = box.block(0, half=True)
-        assert (half == ids[: tokenfile.BLOCK_IDS][-len(half) :]).all()
+    size = tokenfile.BLOCK_IDS
+    assert len(box.places) == -(-n // size) and (n < 1 << 20 or len(box.places) >= 16)
+    for k in {0, len(box.places) - 1} if n else ():  # one block, and each half of one, alone
+        own = ids[k * size : (k + 1) * size]
+        assert (box.blocks([k])[0] == own).all()
+        first, second = box.half(k, 0), box.half(k, 1)
+        assert (first == own[: len(first)]).all() and (second == own[len(first) :]).all()
     if n >= 5000:
-        broken = bytearray(data)
-        broken[box.places[0]] ^= 255
-        with pytest.raises(ValueError):
-            tokenfile.Container(bytes(broken)).ids()
+        first, lanes = box.places[0], int(box.directory[0, 1])
+        for at, h in ((first, 0), (first + 8 * lanes, 1)):  # states at the start and at the checkpoint
+            broken = bytearray(data)
+            broken[at] ^= 255
+            for read in (lambda b: b.ids(), lambda b, h=h: b.half(0, h)):
+                with pytest.raises(ValueError):
+                    read(tokenfile.Container(bytes(broken)))
     with pytest.raises(ValueError):
         tokenfile.Container(b"\0" * 64)
 
