@@ -20,7 +20,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.classes(table(spark, sf_dir, "documents"))
+    return ngramjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,9 +52,10 @@ def test_whole_copies_of_long_documents_keep_the_targets(spark):
     assert abs(words.get("a", 0) - target[0]) < 0.25 * target[0] and abs(words["b"] - target[1]) < 0.05 * target[1]
 
 
-def links_by_brute_force(rows):
+def classes_by_brute_force(rows):
+    """(id, least id of the class or None, links) for each row, and the rows of each class; rows are told apart by place, not by id."""
     grams = ngramjoin.Grams()
-    sets = [(i, set(grams(t or "").tolist())) for i, t in rows]
+    sets = [set(grams(t or "").tolist()) for _, t in rows]
     parent, degree = list(range(len(sets))), [0] * len(sets)
 
     def find(x):
@@ -64,13 +65,21 @@ def links_by_brute_force(rows):
 
     for a in range(len(sets)):
         for b in range(a):
-            s, t = sets[a][1], sets[b][1]
+            s, t = sets[a], sets[b]
             if s and t and len(s & t) >= 0.8 * len(s | t):
                 degree[a] += 1
                 degree[b] += 1
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    return {sets[k][0]: (min(sets[m][0] for m in range(len(sets)) if find(m) == find(k)), degree[k]) for k in range(len(sets))}
+    members = defaultdict(list)
+    for k in range(len(rows)):
+        members[find(k)].append(k)
+    least = {root: min((rows[k][0] for k in of if rows[k][0] is not None), default=None) for root, of in members.items()}
+    return [(rows[k][0], least[find(k)], degree[k]) for k in range(len(rows))], list(members.values())
+
+
+def links_by_brute_force(rows):
+    return {i: (c, n) for i, c, n in classes_by_brute_force(rows)[0]}
 
 
 @pytest.mark.parametrize(("hot", "block"), [(16, 512), (2, 8)])
@@ -92,6 +101,37 @@ def test_ngram_join(spark, hot, block):
     assert got == links_by_brute_force(rows)
 
 
+def repeated_ids(seed):
+    """Groups of near copies under few ids and nulls, so that different texts share ids and equal rows recur."""
+    rng = np.random.default_rng(seed)
+    words, rows = [f"w{k}" for k in range(4000)], []
+    for size in (25, 10, 4, 1, 1):
+        base = rng.choice(words, 120).tolist()
+        for _ in range(size):
+            text = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                text[int(rng.integers(len(text)))] = f"c{rng.integers(3)}"
+            rows.append((None if rng.random() < 0.2 else int(rng.integers(6)), " ".join(text)))
+    return [*rows, *rows[:9], (3, ""), (3, None), (None, " "), (None, None)]
+
+
+@pytest.mark.parametrize(("hot", "block"), [(16, 512), (2, 8)])
+def test_ngram_join_of_repeated_ids(spark, hot, block):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    for rows in ([(1, a), (1, b), (2, b), (3, b + " more")], repeated_ids(1), repeated_ids(2)):
+        df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, kept_id int").repartition(4)
+        want, members = classes_by_brute_force(rows)
+        found = ngramjoin.classes(df, hot=hot, block=block).collect()
+        assert sorted(map(repr, ((r.doc_id, r.class_id, r.n_links) for r in found))) == sorted(map(repr, want))
+        with_words = [of for of in members if (rows[of[0]][1] or "").split()]
+        assert sorted(Counter(r.class_key for r in found if r.class_key).values()) == sorted(map(len, with_words))
+        kept = ngramjoin.one_of_each(df, hot=hot, block=block).collect()
+        of = {k: g for g, ks in enumerate(members) for k in ks}
+        assert sorted(of[r.kept_id] for r in kept) == list(range(len(members)))
+        firsts = {of[r.kept_id]: r.doc_id for r in kept}
+        assert all(firsts[g] == min((rows[k][0] for k in ks if rows[k][0] is not None), default=None) for g, ks in enumerate(members))
+
+
 def test_ngram_join_edges(docs, no_docs):
     got = ngramjoin.classes(docs).collect()
     assert len(got) == docs.count() and ngramjoin.classes(no_docs).count() == 0
@@ -99,6 +139,7 @@ def test_ngram_join_edges(docs, no_docs):
     assert classes[1] == classes[2] == classes[3] == 1 and classes[4] == 4 and classes[5] == 5 and classes[9] == 9
     kept = ngramjoin.one_of_each(docs)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, 9, 10, 11, None])
+    assert ngramjoin.one_of_each(no_docs).count() == 0
     assert 1 - (1 - 0.8**8) ** ngramjoin.bands_for(0.8, 0.999) >= 0.999
 
 
