@@ -157,7 +157,7 @@ def test_neighbours(spark):
     x = np.array([rows[i] for i in ids])
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     found, hit, total = defaultdict(list), 0, 0
-    for r in forest.search(df, block=200, queries=4).orderBy("query_id", "rank").collect():
+    for r in forest.search(df, block=200, queries=4).orderBy("query_id", "rank").collect():  # several blocks and sets
         assert r.score == pytest.approx(float(unit[np.searchsorted(ids, r.vec_id)] @ unit[np.searchsorted(ids, r.query_id)]), abs=1e-12)
         found[r.query_id].append(r.vec_id)
         assert r.rank == len(found[r.query_id]) and r.vec_id != r.query_id
@@ -166,9 +166,46 @@ def test_neighbours(spark):
         s[np.searchsorted(ids, q)] = -9
         hit += len(set(ids[np.argsort(-s)[:5]].tolist()) & set(found[q]))
         total += 5
+    print(f"recall {hit / total:.3f}")
     assert hit >= 0.9 * total
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Against all pairs: the best row of each id counts, an id is found once, and its copies take no other's place."""
+    rng = np.random.default_rng(4)
+    near = [(50, [1.0, 0.0, 0.0]), *[(1, [1.0, 0.1, 0.0])] * 8, (2, [1.0, 0.2, 0.0]), (3, [1.0, 0.3, 0.0]), (4, [1.0, 0.4, 0.0]), (5, [1.0, 0.5, 0.0]), (6, [-1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])]
+    got = forest.search(spark.createDataFrame(near, "vec_id long, embedding array<float>").repartition(3)).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and [r.rank for r in got] == [1, 2, 3, 4, 5]
+    rows = [(int(rng.integers(0, 60)), rng.normal(size=4).tolist()) for _ in range(150)] + [(0, [1e200, 1e200, 0.0, 1e200]), (7, [1e-200, 1e-200, 0.0, 1e-200])]
+    rows += rows[:20]
+    x, ids = forest.scaled(np.array([v for _, v in rows])), np.array([i for i, _ in rows])
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    want = []
+    for q in sorted({i for i in ids.tolist() if i % 50 == 0}):
+        best = {}
+        for i, s in zip(np.tile(ids, (ids == q).sum()).tolist(), (unit[ids == q] @ unit.T).ravel().tolist(), strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -2), s)
+        want += [(q, i) for i in sorted(best, key=lambda i: (-round(best[i], 12), i))[:5]]
+    got = forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), block=16, queries=2)
+    assert [(r.query_id, r.vec_id) for r in got.orderBy("query_id", "rank").collect()] == want
+
+
+def test_prefixes_of_any_length():
+    """Longest-prefix matches and candidates against plain comparisons of strings."""
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(size=(60, 6)), rng.normal(size=(1, 6)) + 1e-7 * rng.normal(size=(20, 6))])
+    unit = rows / forest.norms(rows)[:, None]
+    f, asked = forest.Forest(unit, trees=3), unit[[0, 5, 70]]
+    bits = lambda x: [[format(int(c), "064b") for c in row] for row in f.strings(x)]
+    shared = np.array([[[next((k for k in range(64) if a[t][k] != b[t][k]), 64) for t in range(3)] for b in bits(unit)] for a in bits(asked)])
+    assert f.reached(f.strings(asked)).tolist() == shared.max((1, 2)).tolist()
+    for enough in (1, 5, 40, 80, 81):
+        for q, got in enumerate(f.candidates(asked, enough)):
+            depth = next((d for d in range(64, 0, -1) if (hit := (shared[q] >= d).any(1)).any() and hit.sum() >= enough), 0)
+            assert (got == (shared[q] >= depth).any(1)).all()
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (None, [1.0, 0.0]), (8, []), (9, [1.0])]
