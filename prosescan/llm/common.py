@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +53,19 @@ def slices(batch: pa.RecordBatch, column: int, size: int, rows: int = 2000) -> I
         b = min(max(a + 1, int(np.searchsorted(ends, before + size, "right"))), a + rows, batch.num_rows)
         yield batch.slice(a, b - a)
         a = b
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that gives the memory it no longer uses back to the system at its end, as workers wait for their next task."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library: nothing to give back
+                pass
+
+    return out

@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.llm.common import slices, text_of, written
+from prosescan.llm.common import slices, text_of, tidied, written
 from prosescan.llm.components import components
 
 N, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 8
 #: Members of a bucket whose pairs become rows; members and n-grams of a block; salts of a group of several blocks.
 HOT, BLOCK, BLOCK_GRAMS, SALTS = 16, 512, 400_000, 64
 #: Words whose hashes a worker remembers; bytes of text sketched at once.
-REMEMBERED, SLICE_BYTES = 300_000, 8_000_000
+REMEMBERED, SLICE_BYTES = 100_000, 4_000_000
 #: A row of the input: its id and 128 bits of its text.
 ROW = ["doc_id", "mark1", "mark2"]
 
@@ -122,7 +122,7 @@ def sketched(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes])]), pa.int32()), pa.array(np.concatenate([*hashes, np.empty(0, np.int64)]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([half(k, 0) for k in keys], pa.int64()), pa.array([half(k, 64) for k in keys], pa.int64()), pa.array(sizes, pa.int64()), lists], [*ROW, "key1", "key2", "n_grams", "bands"])
 
-    return rows.select(*ROW, "text").mapInArrow(run, "doc_id long, mark1 long, mark2 long, key1 long, key2 long, n_grams long, bands array<long>")
+    return rows.select(*ROW, "text").mapInArrow(tidied(run), "doc_id long, mark1 long, mark2 long, key1 long, key2 long, n_grams long, bands array<long>")
 
 
 def similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -188,12 +188,12 @@ def _joined(docs: DataFrame, n: int, similarity: float, recall: float, rows: int
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(n)
         for batch in batches:
-            for some in slices(batch, 2, SLICE_BYTES // 4):
+            for some in slices(batch, 2, SLICE_BYTES // 2):
                 own = [grams(t) for t in some.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(g) for g in own], pa.int64()), pa.array([g.tobytes() for g in own], pa.binary())], ["node", "copies", "n_grams", "grams"])
 
     texts = own.join(wanted, _same_row("", "w_")).select("node", "copies", "text")
-    gram_sets = written(texts.mapInArrow(sets, "node long, copies long, n_grams long, grams binary").dropDuplicates(["node"]), "grams")
+    gram_sets = written(texts.mapInArrow(tidied(sets), "node long, copies long, n_grams long, grams binary").dropDuplicates(["node"]), "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +205,7 @@ def _joined(docs: DataFrame, n: int, similarity: float, recall: float, rows: int
             yield pa.RecordBatch.from_arrays([some.column(k) for k in range(4)], ["node_a", "node_b", "copies_a", "copies_b"])
 
     of = lambda s: gram_sets.select(F.col("node").alias(f"node_{s}"), F.col("grams").alias(f"grams_{s}"))
-    linked = written(pairs.join(of("a"), "node_a").join(of("b"), "node_b").select("node_a", "node_b", "copies_a", "copies_b", "grams_a", "grams_b").mapInArrow(verify, "node_a long, node_b long, copies_a long, copies_b long"), "links")
+    linked = written(pairs.join(of("a"), "node_a").join(of("b"), "node_b").select("node_a", "node_b", "copies_a", "copies_b", "grams_a", "grams_b").mapInArrow(tidied(verify), "node_a long, node_b long, copies_a long, copies_b long"), "links")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         """Within a pair of blocks: links of each member, and edges of a spanning forest."""
