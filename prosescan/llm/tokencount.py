@@ -33,7 +33,7 @@ from prosescan.llm.common import slices
 
 MARK = "▁"
 #: Distinct words whose counts a worker remembers; bytes of text whose tables are made at once.
-REMEMBERED, SLICE_BYTES = 400_000, 4_000_000
+REMEMBERED, SLICE_BYTES = 800_000, 6_000_000
 
 
 @lru_cache(maxsize=2)
@@ -88,21 +88,28 @@ class PrefixCounts:
         room = self.used + sum(map(len, fresh))
         if room > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(room, 2 * len(self.flat)) - self.used, np.uint16)])
-        before, counts, last = "", [0], [""]
-        for unit in fresh:
-            same = 0
-            for a, b in zip(before, unit, strict=False):
-                if a != b:
-                    break
-                same += 1
+        first = len(self.known)
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        self.lengths[first : first + len(fresh)] = lengths
+        self.starts[first : first + len(fresh)] = self.used + np.cumsum(lengths) - lengths
+        self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        counts, last, own = [0], [""], []
+        for unit, same in zip(fresh, self._shared(fresh), strict=True):
             del counts[same + 1 :], last[same + 1 :]
             self._extend(unit, counts, last)
-            if counts[-1] > 65535 and self.flat.dtype == np.uint16:
-                self.flat = self.flat.astype(np.uint32)
-            k, n = len(self.known), len(unit)
-            self.known[unit], self.starts[k], self.lengths[k] = k, self.used, n
-            self.flat[self.used : self.used + n] = counts[1:]
-            self.used, before = self.used + n, unit
+            own += counts[1:]
+        if own and max(own) > 65535 and self.flat.dtype == np.uint16:
+            self.flat = self.flat.astype(np.uint32)
+        self.flat[self.used : room], self.used = own, room
+
+    @staticmethod
+    def _shared(words: list[str], look: int = 16) -> list[int]:
+        """How many characters (of the first few) each word shares with the one before."""
+        if not words:
+            return []
+        codes = np.array(words, f"U{look}").view(np.uint32).reshape(len(words), look)
+        same = (codes[1:] == codes[:-1]) & (codes[1:] != 0)
+        return [0, *np.where(same.all(1), look, same.argmin(1)).tolist()]
 
     def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The counts at every prefix (of one code point and more) of all texts, one after the other, and the texts' lengths."""
