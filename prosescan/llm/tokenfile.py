@@ -23,7 +23,6 @@ ordered by text; null ids come first; an empty table gives no containers and no
 from __future__ import annotations
 
 import os
-import re
 import struct
 import sys
 import zlib
@@ -45,6 +44,10 @@ MAGIC, HEAD = b"PSRA", struct.Struct("<4sQQQQQ")
 PRECISION, LOW, BLOCK_IDS, LANES, CONTAINER_IDS = 18, np.uint64(1 << 31), 1 << 16, 256, 1 << 20
 #: Distinct pieces of text whose ids a worker remembers; bytes of text encoded at once.
 REMEMBERED, SLICE_BYTES = 900_000, 8_000_000
+#: Pieces that the library is given as one text.
+LINE = 1000
+#: White space that runs on, or is neither a space nor a line feed (or is the mark of a cut): such texts aren't cut.
+SPLIT_OTHERWISE = r"  | \n|\n |\n\n|[\x{0}\t\v\f\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -243,21 +246,40 @@ class Encoder:
         self.library = tokenizer(path)
         special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
         self.special = special
-        self.other_space = re.compile(r"[^\S \n]")
         self.known: dict[str, bytes] = {}
+        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, text: str) -> bool:
-        """Whether the library must see the text as it is."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or self.other_space.search(text):
-            return True
-        return any(m in text for m in self.special)
-
-    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, read off lines of many: a line feed between two pieces that don't end in white space is an id of its own."""
+        plain = [x for x in pieces if not x[-1:].isspace() and x]
+        lines = [plain[a : a + LINE] for a in range(0, len(plain), LINE)]
+        out: dict[str, bytes] = {}
+        for line, e in zip(lines, self.library.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.feed)
+            if len(at) != len(line) - 1:
+                raise ValueError("pieces of this tokenizer span line feeds")
+            raw, a = ids.tobytes(), 0
+            for piece, b in zip(line, (*(4 * at).tolist(), len(raw)), strict=True):
+                out[piece] = raw[a:b]
+                a = b + 4
+        rest = [x for x in pieces if x not in out]
+        out.update(zip(rest, self._raw(rest), strict=True))
+        return [out[x] for x in pieces]
+
+    def whole(self, texts: pa.Array) -> pa.Array:
+        """Whether the library must see a text as it is."""
+        out = pc.match_substring_regex(texts, SPLIT_OTHERWISE)
+        for m in self.special:
+            out = pc.or_(out, pc.match_substring(texts, m))
+        return out
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of texts that may be cut; each distinct piece is looked up once."""
-        column = pc.split_pattern(pa.array([t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts], pa.large_string()), "\0")
+        column = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
         coded = pc.dictionary_encode(column.flatten())
         units, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         known = self.known
@@ -266,7 +288,7 @@ class Encoder:
             short = {u: ids for u, ids in known.items() if len(u) < 8}
             known = self.known = short if 2 * len(short) < REMEMBERED else {}
             fresh = [u for u in units if u not in known]
-        known.update(zip(fresh, self._raw(fresh), strict=True))
+        known.update(zip(fresh, self._pieces(fresh), strict=True))
         own = [known[u] for u in units]
         table, sizes = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
         n = sizes[place]
@@ -276,15 +298,15 @@ class Encoder:
         of = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
         return table[at], np.diff(np.concatenate([[0], ends])[of])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their numbers."""
-        whole = [self.whole(t) for t in texts]
-        ids, counts = self._cut([t for t, w in zip(texts, whole, strict=True) if not w])
-        if not any(whole):
+        whole = self.whole(texts)
+        ids, counts = self._cut(texts.filter(pc.invert(whole)))
+        if not pc.any(whole).as_py():
             return ids, counts
         parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
-        rest = iter(self._raw([t for t, w in zip(texts, whole, strict=True) if w]))
-        all_parts = [np.frombuffer(next(rest), "<u4") if w else next(parts) for w in whole]
+        rest = iter(self._raw(texts.filter(whole).to_pylist()))
+        all_parts = [np.frombuffer(next(rest), "<u4") if w else next(parts) for w in whole.to_pylist()]
         return np.concatenate(all_parts), np.array([len(x) for x in all_parts], np.int64)
 
 
@@ -309,7 +331,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2,
 
         for batch in batches:
             for some in slices(batch, 1, SLICE_BYTES):
-                fresh, counts = known.encode(some.column(1).to_pylist())
+                fresh, counts = known.encode(some.column(1))
                 if end_id is not None:
                     fresh, counts = np.insert(fresh, np.cumsum(counts), end_id), counts + 1
                 doc_ids += some.column(0).to_pylist()
