@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +57,23 @@ def slices(batch: pa.RecordBatch, column: int, size: int, rows: int = 2000) -> I
         a = b
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Matrix products of this worker run on its task's own thread: tasks are the parallelism, and threads that wait for each other
+    burn as much time again. A numpy without the bundled library keeps its setting."""
+    for path in sorted((Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*")):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """An Arrow function that gives the memory it no longer uses back to the system at its end, as workers wait for their next task."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         try:
             yield from run(batches)
         finally:

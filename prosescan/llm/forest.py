@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosescan.llm.common import written
+from prosescan.llm.common import tidied, written
 
 TREES, BITS, SEED = 16, 64, 11
 SAMPLE, SAMPLE_QUERIES, GOAL = 4096, 128, 0.95
@@ -191,7 +191,7 @@ def _packed(df: DataFrame, length: int, size: int, forests: bool) -> DataFrame:
         if rest := sum(b.num_rows for b in held):
             yield out(rest)
 
-    return df.select("vec_id", "v").mapInArrow(run, "name long, ids binary, vectors binary, orders binary, strings binary")
+    return df.select("vec_id", "v").mapInArrow(tidied(run), "name long, ids binary, vectors binary, orders binary, strings binary")
 
 
 def _of_length(own: DataFrame, length: int, k: int, every: int, block: int, queries: int) -> DataFrame:
@@ -227,4 +227,4 @@ def _of_length(own: DataFrame, length: int, k: int, every: int, block: int, quer
                         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
     streamed = dealt.repartition("cell", "lane").sortWithinPartitions("cell", "lane", "asks")
-    return streamed.mapInArrow(answer, "query_id long, vec_id long, score double")
+    return streamed.mapInArrow(tidied(answer), "query_id long, vec_id long, score double")

@@ -29,13 +29,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosescan.llm.chunks import dealt
-from prosescan.llm.common import text_of, written
+from prosescan.llm.common import one_thread, slices, text_of, tidied, written
 
 VOCABULARY, CLASSES, SIZE, NOISE, BATCH, RATE = 2000, 36, 24, 32, 4096, 0.15
+#: Bytes of text that are numbered at once.
+SLICE_BYTES = 6_000_000
 #: Occurrences from which a token has vectors of its own, or the square root of all training tokens by ROOT, whichever is more;
 #: the VOCABULARY most frequent have them anyway.
 LEAST, ROOT = 50, 36
@@ -50,6 +53,19 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts (the first is END), the word of every token as a number into them, and the texts' numbers of tokens."""
+    column = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = column.flatten()
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    filled = pc.greater(pc.binary_length(flat), 0)  # white space at either end of a text leaves empty parts
+    both = pc.dictionary_encode(flat.filter(filled))
+    of = of[filled.to_numpy(zero_copy_only=False)]
+    n_words = np.bincount(of, minlength=len(texts))
+    place = np.insert(both.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.cumsum(n_words), 0)
+    return [END, *both.dictionary.cast(pa.binary()).to_pylist()], place, n_words + 1
+
+
 def class_of(word: bytes) -> int:
     """By last byte (comma, full stop, other mark, letter), whether it is ASCII, and length."""
     last = word[-1:] or b" "
@@ -58,6 +74,23 @@ def class_of(word: bytes) -> int:
     return ending * 9 + (0 if word.isascii() else 3 if word[0] > 127 else 6) + (0 if size < 5 else 1 if size < 9 else 2)
 
 
+def classes_of(words: pa.Array) -> np.ndarray:
+    """class_of for an array of binary words."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    ends = np.cumsum(size)
+    filled = size > 0
+    last, first = np.full(len(size), ord(" "), np.uint8), np.zeros(len(size), np.uint8)
+    last[filled], first[filled] = raw[ends[filled] - 1], raw[(ends - size)[filled]]
+    high = np.concatenate([[0], np.cumsum(raw > 127)])
+    ascii_ = high[ends] == high[ends - size]
+    letter = (last > 127) | ((last | 32) - ord("a") < 26)
+    ending = np.select([last == ord(","), last == ord("."), letter], [0, 1, 3], 2)
+    return ending * 9 + np.where(ascii_, 0, np.where(first > 127, 3, 6)) + np.where(size < 5, 0, np.where(size < 9, 1, 2))
+
+
 def numbered(top: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray]:
     """Numbers of the vocabulary's words and of the classes of all others: by form, then count, so groups (runs of numbers) are of like words."""
     order = sorted([(class_of(w), -n, w) for w, n in top.items()] + [(k, 1, b"") for k in range(CLASSES)])
@@ -117,7 +150,7 @@ class Trainer:
 
     def _move(self, first: int, at: np.ndarray, grads: np.ndarray, n: int) -> None:
         """Only rows that occur move, by their own sums of squares."""
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if len(self.p.rows) < 1 << 16 or int(at.max()) < 1 << 16 else at, kind="stable")  # short keys sort by digits
         at = at[order]
         starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         rows, g = first + at[starts], np.add.reduceat(grads[order], starts, axis=0) / np.float32(n)
@@ -152,7 +185,8 @@ class Trainer:
         width, at = self.p.width, self.p.at
         group, place = w // width, w % width
         for first, x in ((0, u), (at[1], v), (at[2], w), (at[3], group)):
-            np.add.at(self.seen, first + x, 1)
+            n = np.bincount(x)
+            self.seen[first : first + len(n)] += n
         order = self.rng.permutation(len(w))
         for a in range(0, len(order), BATCH):
             k = order[a : a + BATCH]
@@ -201,10 +235,14 @@ def scorer(flat: bytes, outputs: int) -> Scorer:
     return Scorer(np.frombuffer(flat, np.float32), outputs)
 
 
-def contexts(ids: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids one and two places before; before the start stands none."""
-    padded = np.concatenate([[none, none], ids])
-    return padded[1:-1], padded[:-2]
+def contexts(ids: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two places before each token, of texts one after the other; before a text's start stands none."""
+    starts = np.cumsum(lengths) - lengths
+    u, v = np.empty_like(ids), np.empty_like(ids)
+    u[1:], v[2:] = ids[:-1], ids[:-2]
+    u[starts] = v[starts] = none
+    v[(starts + 1)[lengths > 1]] = none
+    return u, v
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -217,15 +255,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
+            for some in slices(batch, 0, SLICE_BYTES):
+                words, place, _ = coded(some.column(0))
+                for w, n in zip(words, np.bincount(place, minlength=len(words)).tolist(), strict=True):
+                    counts[w] += n
                 if len(counts) > 500_000:
                     yield out()
                     counts.clear()
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def trained(train: DataFrame, known_outputs: dict[bytes, int], rest: np.ndarray, unigram: np.ndarray) -> np.ndarray:
@@ -238,18 +278,12 @@ def trained(train: DataFrame, known_outputs: dict[bytes, int], rest: np.ndarray,
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        trainer, known = Trainer(Parameters(outputs, unigram), unigram, task), dict(known_outputs)
-        held, size = [], 0
+        trainer, held, size = Trainer(Parameters(outputs, unigram), unigram, task), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                if len(known) > len(known_outputs) + 300_000:
-                    known = dict(known_outputs)
-                for w in words:
-                    if w not in known:
-                        known[w] = rest[class_of(w)]
-                ids = np.array([known[w] for w in words])
-                held.append((*contexts(ids, outputs), ids))
+            for some in slices(batch, 0, SLICE_BYTES):
+                words, place, n = coded(some.column(0))
+                ids = np.array([known_outputs[w] if w in known_outputs else rest[class_of(w)] for w in words])[place]
+                held.append((*contexts(ids, n, outputs), ids))
                 size += len(ids)
                 if size > 50 * BATCH:
                     trainer.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -279,7 +313,7 @@ def trained(train: DataFrame, known_outputs: dict[bytes, int], rest: np.ndarray,
 
     schema = "part int, task int, at binary, seen binary, sums binary"
     out = start.rows
-    for r in train.select("text").mapInArrow(run, schema).groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect():
+    for r in train.select("text").mapInArrow(tidied(run), schema).groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect():
         at = np.frombuffer(bytes(r["at"]), np.int64)
         out[at] = np.frombuffer(bytes(r.sums), np.float32).reshape(len(at), SIZE + 1) / np.frombuffer(bytes(r.seen), np.float64)[:, None]
     return start.flat()
@@ -317,43 +351,33 @@ def score(docs: DataFrame, *, of: int = 5, held_out: int = 1, vocabulary_size: i
 
     def distinct(key: tuple, t: pa.Table) -> pa.Table:
         words: set[bytes] = set()
-        for column in t.column("text").chunks:
-            for text in column.to_pylist():
-                words.update(tokens(text))
+        for batch in t.select(["text"]).to_batches():
+            for some in slices(batch, 0, SLICE_BYTES):
+                words.update(coded(some.column(0))[0])
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
 
     def scores(t: pa.Table, dictionary: pa.Table) -> pa.Table:
+        one_thread()
         words, c = dictionary.column("word").to_pylist(), dictionary.column("n").to_numpy().astype(np.float64)
         place = {w: k for k, w in enumerate(words)}
         rare = np.array([w not in vocabulary for w in words], bool)
-        form = np.array([class_of(w) if r else 0 for w, r in zip(words, rare, strict=True)], np.int64)
+        form = np.zeros(len(words), np.int64)
+        form[rare] = classes_of(dictionary.column("word").combine_chunks().filter(pa.array(rare)))
         out = np.array([vocabulary.get(w, -1) for w in words], np.int64)
         out[rare] = rest[form[rare]]
         within = np.where(rare, np.log(c + 0.5) - ln_class[form], 0.0)
         base = np.log10((c + 0.5) / base_of)
-        model, rows, held = scorer(flat, outputs), [], []
-
-        def ready() -> None:
-            """Scores of the texts held, of all their tokens at once."""
-            ids = [out[at] for at in held]
-            pairs = [contexts(x, outputs) for x in ids]
-            got = model(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)), np.concatenate(ids))
-            ends = np.cumsum([len(x) for x in ids])
-            for at, own in zip(held, np.split(got, ends[:-1]), strict=True):
-                rows.append((len(at), int((c[at] > 0).sum()), base[at].sum(), (own + within[at]).sum() / np.log(10)))
-            held.clear()
-
-        size = 0
-        for column in t.column("text").chunks:
-            for text in column.to_pylist():
-                held.append(np.array([place[w] for w in tokens(text)]))
-                size += len(held[-1])
-                if size > 50 * BATCH:
-                    ready()
-                    size = 0
-        if held:
-            ready()
+        model, rows = scorer(flat, outputs), []
+        for batch in t.select(["text"]).to_batches():
+            for some in slices(batch, 0, SLICE_BYTES):
+                units, at, n = coded(some.column(0))
+                at = np.array([place[w] for w in units])[at]
+                ids, starts = out[at], np.cumsum(n) - n
+                own = model(*contexts(ids, n, outputs), ids) + within[at]
+                sums = (np.add.reduceat(x, starts) for x in ((c[at] > 0).astype(np.int64), base[at], own))
+                rows += zip(n.tolist(), *(x.tolist() for x in sums), strict=True)
         n, known, b, s = zip(*rows, strict=True) if rows else ((), (), (), ())
+        s = np.array(s, np.float64) / np.log(10)
         return pa.Table.from_arrays([t.column("doc_id"), t.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([n_all] * len(rows), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], names)
 
     chunked = dealt(own).withColumn("held_out", remainder("doc_id", of) == held_out)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.llm.common import slices, text_of, tidied, written
+from prosescan.llm.common import one_thread, slices, text_of, tidied, written
 from prosescan.llm.components import components
 
 N, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.999, 8
@@ -209,6 +209,7 @@ def _joined(docs: DataFrame, n: int, similarity: float, recall: float, rows: int
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         """Within a pair of blocks: links of each member, and edges of a spanning forest."""
+        one_thread()
         side, node = t.column("block").to_numpy(), t.column("node").to_numpy()
         i, j = key[1].as_py(), key[2].as_py()
         copies, size = t.column("copies").to_numpy(), t.column("n_grams").to_numpy().astype(np.float32)
