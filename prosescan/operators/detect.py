@@ -9,21 +9,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosescan.config import Pattern, Thresholds, folded
+from prosescan.config import Pattern, Thresholds
 from prosescan.dimensions import BUILTIN_RULES, COMPANIES, DEAD_METAPHORS, DECORATIONS, ORDINALS, STOP_WORDS, SUMMARIES, spellings
-from prosescan.functions.text import SPACE, ascii_lower, reachable, slice_bytes, starts_with_any, trie_regex, words
+from prosescan.functions.text import LOWER, SPACE, UPPER, ascii_lower, reachable, starts_with_any, trie_regex, words
 from prosescan.operators.segment import Segments, placed
 
+FOLD = str.maketrans(UPPER, LOWER)
 COLUMNS = ["doc_ord", "rule_id", "start", "end", "matched", "expected", "det", "seq"]
 
 
-def matches(docs: DataFrame, of: list[str], text: Column, regex: str, original: Column | None = None) -> DataFrame:
-    """of, ix, start, end, matched: matches of regex in order; matched comes from original where text differs from it in case."""
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    own = [] if original is None else [original.alias("_text")]
-    both = docs.where(text.rlike(regex)).select(*of, *own, F.posexplode(F.arrays_zip(found.alias("m"), F.split(text, regex, -1).alias("gap"))).alias("ix", "x")).where("x.m is not null")
-    out = placed(both, of, "ix", F.octet_length("x.gap") + F.octet_length("x.m")).withColumn("start", F.col("start") + F.octet_length("x.gap")).withColumn("end", F.col("start") + F.octet_length("x.m"))
-    return out.select(*of, "ix", "start", "end", (F.col("x.m") if original is None else slice_bytes(F.col("_text"), F.col("start"), F.col("end"))).alias("matched"))
+#: Put around matches. A text's own are taken as another control character of one byte, so offsets stay.
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def found_in(text: Column, regex: str) -> Column:
+    """The matches of regex in order, as (gap: bytes between it and the one before, m), in one pass over the text."""
+    plain = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "\x00\x00")).otherwise(text)
+    parts = F.split(F.regexp_replace(plain, regex, f"{OPEN}$0{CLOSE}"), CLOSE, -1)
+    return F.transform(F.filter(parts, lambda x: x.contains(OPEN)), lambda x: F.struct(F.octet_length(F.substring_index(x, OPEN, 1)).alias("gap"), F.substring_index(x, OPEN, -1).alias("m")))
+
+
+def matches(docs: DataFrame, of: list[str], text: Column, regex: str, at_least: int = 1) -> DataFrame:
+    """of, ix, start, end, matched: matches of regex in order, in rows that have enough of them. Rows carry no text but the match."""
+    found = F.when(F.monotonically_increasing_id() >= 0, found_in(text, regex))  # computed once, as in mask
+    rows = docs.select(*of, found.alias("found")).where(F.size("found") >= at_least).select(*of, F.posexplode("found").alias("ix", "x")).select(*of, "ix", "x.gap", "x.m")
+    out = placed(rows, of, "ix", F.col("gap") + F.octet_length("m")).withColumn("start", F.col("start") + F.col("gap"))
+    return out.select(*of, "ix", "start", (F.col("start") + F.octet_length("m")).alias("end"), F.col("m").alias("matched"))
+
+
+def runs_in(docs: DataFrame, of: list[str], text: Column, regex: str, at_least: Column | int) -> DataFrame:
+    """of, n, start, end, matched of all matches in a row together, in rows that have enough of them; no window and no shuffle."""
+    rows = docs.withColumn("found", F.when(F.monotonically_increasing_id() >= 0, found_in(text, regex))).where(F.size("found") >= at_least)
+    size = F.aggregate("found", F.lit(0), lambda n, x: n + x.gap + F.octet_length(x.m))
+    return rows.select(*of, F.size("found").alias("n"), F.get("found", F.lit(0)).gap.cast("long").alias("start"), size.cast("long").alias("end"), F.array_join(F.transform("found", lambda x: x.m), " ").alias("matched"))
 
 
 def findings(df: DataFrame, rule: str | None, det: int, seq: Column | int = 0) -> DataFrame:
@@ -34,19 +52,25 @@ def findings(df: DataFrame, rule: str | None, det: int, seq: Column | int = 0) -
 
 
 def sliced(df: DataFrame, s: Segments) -> DataFrame:
-    """Adds matched, sliced from the masked text by start and end."""
-    return df.join(s.documents.select("doc_ord", "masked"), "doc_ord").withColumn("matched", slice_bytes(F.col("masked"), F.col("start"), F.col("end"))).drop("masked")
+    """Adds matched, sliced from the masked text by start and end. A document meets its findings once, as bytes."""
+    keys = [c for c in df.columns if c != "doc_ord"]
+    grouped = df.groupBy("doc_ord").agg(F.collect_list(F.struct(*keys)).alias("found"))
+    raw = F.when(F.monotonically_increasing_id() >= 0, F.col("masked").cast("binary"))
+    joined = grouped.join(s.documents, "doc_ord").select("doc_ord", "found", raw.alias("raw"))
+    cut = lambda x: F.substring(F.col("raw"), (x.start + 1).cast("int"), (x.end - x.start).cast("int")).cast("string")
+    return joined.select("doc_ord", F.explode(F.transform("found", lambda x: F.struct(x.alias("f"), cut(x).alias("matched")))).alias("x")).select("doc_ord", "x.f.*", "x.matched")
 
 
 def phrases(s: Segments, patterns: tuple[Pattern, ...]) -> DataFrame:
-    """All phrases of all patterns in one pass: leftmost, non-overlapping, the earlier phrase first, ASCII case aside."""
-    of = {folded(x) if x.strip() == x else x.lower(): p.id for p in reversed(patterns) for x in reversed(p.phrases)}
-    ordered = [x for p in patterns for x in (folded(y) if y.strip() == y else y.lower() for y in p.phrases)]
+    """All phrases of all patterns in one pass: leftmost, non-overlapping, the earlier phrase first, ASCII case aside. White space
+    around a phrase is part of it."""
+    low = lambda x: x.translate(FOLD)
+    of = {low(x): p.id for p in reversed(patterns) for x in reversed(p.phrases)}
+    ordered = [low(x) for p in patterns for x in p.phrases]
     if not ordered:
-        return findings(s.documents.limit(0).selectExpr("doc_ord", "name as rule_id", "0L as start", "0L as end", "name as matched"), None, 0)
-    dim = s.documents.sparkSession.createDataFrame(list(of.items()), "phrase string, rule_id string")
-    low = ascii_lower(F.col("masked"))
-    found = matches(s.documents, ["doc_ord"], low, trie_regex(reachable(ordered)), F.col("masked"))
+        return findings(s.texts.limit(0).selectExpr("doc_ord", "'' as rule_id", "0L as start", "0L as end", "masked as matched"), None, 0)
+    dim = s.texts.sparkSession.createDataFrame(list(of.items()), "phrase string, rule_id string")
+    found = matches(s.texts, ["doc_ord"], F.col("masked"), "(?i)" + trie_regex(reachable(ordered)))
     return findings(found.withColumn("phrase", ascii_lower(F.col("matched"))).join(F.broadcast(dim), "phrase"), None, 0)
 
 
@@ -54,19 +78,18 @@ DASHES = rf"—|(?<![0-9])–|–(?![0-9])|(?<![^{SPACE}])--(?![^{SPACE}])"
 
 
 def em_dash(s: Segments, t: Thresholds) -> DataFrame:
-    n_words = s.documents.where(F.col("masked").rlike("[—–]|--")).select("doc_ord", F.regexp_count("masked", F.lit("[A-Za-z0-9']+")).cast("long").alias("n_words"))
-    runs = matches(s.documents, ["doc_ord"], F.col("masked"), DASHES).groupBy("doc_ord").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "matched"))), lambda x: x.matched), " ").alias("matched"))
+    words_ = F.when(F.monotonically_increasing_id() >= 0, F.regexp_count("masked", F.lit("[A-Za-z0-9']+")).cast("long"))
+    runs = runs_in(s.texts.where(F.col("masked").rlike("[—–]|--")), ["doc_ord", "masked"], F.col("masked"), DASHES, t("em_dash", "floor"))
     n, w = F.col("n"), F.col("n_words")
     dense = (w == 0) | (F.expr("n * 100 div greatest(n_words, 1)") >= t("em_dash", "rate_per_hundred_words"))
-    return findings(runs.join(n_words, "doc_ord").where((n >= t("em_dash", "floor")) & ((n >= t("em_dash", "count")) | dense)), "em_dash", 1)
+    return findings(runs.withColumn("n_words", words_).where((n >= t("em_dash", "count")) | dense), "em_dash", 1)
 
 
 def decoration(s: Segments, t: Thresholds) -> DataFrame:
-    out = None
+    out, own = None, s.paragraphs.withColumnRenamed("start", "p")
     for k, marks in enumerate(DECORATIONS):
-        found = matches(s.paragraphs.withColumnRenamed("start", "p"), ["doc_ord", "p"], F.col("text"), f"[{marks}]")
-        runs = found.groupBy("doc_ord", "p").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "matched"))), lambda x: x.matched), " ").alias("matched"))
-        one = findings(runs.where(F.col("n") >= t("decoration", "min_occurrences")).withColumn("start", F.col("start") + F.col("p")).withColumn("end", F.col("end") + F.col("p")), "decoration", 2, k)
+        runs = runs_in(own, ["doc_ord", "p"], F.col("text"), f"[{marks}]", t("decoration", "min_occurrences"))
+        one = findings(runs.withColumn("start", F.col("start") + F.col("p")).withColumn("end", F.col("end") + F.col("p")), "decoration", 2, k)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -124,9 +147,9 @@ def fractal(s: Segments, t: Thresholds) -> DataFrame:
 
 
 def dead_metaphor(s: Segments, t: Thresholds) -> DataFrame:
-    term = rf"(?<![A-Za-z0-9'])(?:{'|'.join(sorted(DEAD_METAPHORS, key=len, reverse=True))})(?![A-Za-z0-9'])"
-    found = matches(s.documents, ["doc_ord"], ascii_lower(F.col("masked")), term)
-    runs = found.groupBy("doc_ord", F.col("matched").alias("term")).agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    term = rf"(?i)(?<![A-Za-z0-9'])(?:{'|'.join(sorted(DEAD_METAPHORS, key=len, reverse=True))})(?![A-Za-z0-9'])"
+    found = matches(s.texts, ["doc_ord"], F.col("masked"), term, t("dead_metaphor", "min_repeats"))
+    runs = found.groupBy("doc_ord", ascii_lower(F.col("matched")).alias("term")).agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
     return findings(sliced(runs.where(F.col("n") >= t("dead_metaphor", "min_repeats")), s), "dead_metaphor", 7)
 
 
@@ -165,10 +188,12 @@ def dup_sentences(s: Segments, t: Thresholds) -> DataFrame:
 def dialect(s: Segments, wanted: str) -> DataFrame:
     """Spellings of the other dialect, as whole words, with the wanted spelling in the same case."""
     pairs = [(b, a) if wanted == "american" else (a, b) for a, b in spellings()]
-    forms = "|".join(sorted((x for x, _ in pairs), key=lambda x: (-len(x), x)))
     edge = r"[\p{IsAlphabetic}\p{N}]"
-    dim = s.documents.sparkSession.createDataFrame(pairs, "form string, form_expected string")
-    found = matches(s.documents, ["doc_ord"], ascii_lower(F.col("masked")), f"(?<!{edge})(?:{forms})(?!{edge})", F.col("masked")).withColumn("form", ascii_lower(F.col("matched"))).join(F.broadcast(dim), "form")
+    forms = trie_regex(sorted((x for x, _ in pairs), key=lambda x: (-len(x), x)), ahead=False)
+    first = "".join(sorted({x[0] for x, _ in pairs}))
+    dim = s.texts.sparkSession.createDataFrame(pairs, "form string, form_expected string")
+    # The first letter is looked at before what is behind it, as few places pass that test; the longest form that ends a word matches.
+    found = matches(s.texts, ["doc_ord"], F.col("masked"), f"(?i)(?=[{first}])(?<!{edge}){forms}(?!{edge})").withColumn("form", ascii_lower(F.col("matched"))).join(F.broadcast(dim), "form")
     m, e = F.col("matched"), F.col("form_expected")
     first = F.substring(m, 1, 1)
     cased = F.when(m == F.upper(m), F.upper(e)).when(first == F.upper(first), F.concat(F.upper(F.substring(e, 1, 1)), F.substring(e, 2, 100))).otherwise(e)

@@ -1,7 +1,8 @@
 """Masking and segmentation. All offsets are bytes, half-open, in the masked text, whose byte length is the text's.
 
-``documents`` have doc_ord, name, text. ``Segments`` deals masked documents by doc_ord once; every window and group below
-is by doc_ord and reads that one exchange.
+``documents`` have doc_ord, name, text; doc_ord is unique and not null (``numbered`` gives any rows such a number). ``Segments`` deals
+masked texts by doc_ord once; every window and group below is by doc_ord and reads that one exchange. What needs no window reads
+``masked``, which isn't shuffled.
 """
 
 from __future__ import annotations
@@ -66,10 +67,21 @@ def trimmed(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.col("start") + F.octet_length(lead(F.col("text")))).withColumn("text", trim(F.col("text"))).where("text <> ''").withColumn("end", F.col("start") + F.octet_length("text"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a doc_ord of its own for each row, for tables whose ids are null or repeat."""
+    return docs.withColumn("doc_ord", F.monotonically_increasing_id())
+
+
 class Segments:
-    def __init__(self, docs: DataFrame, partitions: int | None = None):
-        masked = mask(docs.select(F.col("doc_ord").cast("long").alias("doc_ord"), "name", F.coalesce("text", F.lit("")).alias("text")))
-        self.documents = masked.repartition(partitions, "doc_ord") if partitions else masked.repartition("doc_ord")
+    """Segments of documents. whole: many detectors will read them, so that masking pays to be done once, before the exchange."""
+
+    def __init__(self, docs: DataFrame, whole: bool = False):
+        #: doc_ord and the text as it is.
+        self.source = docs.select(F.col("doc_ord").cast("long").alias("doc_ord"), F.coalesce("text", F.lit("")).alias("text"))
+        self.masked = mask(self.source).select("doc_ord", "masked")
+        self.documents = self.masked.repartition("doc_ord")
+        #: What detectors without windows read.
+        self.texts = self.documents if whole else self.masked
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -48,11 +48,11 @@ def _phrases(s: Segments) -> DataFrame:
 
 
 def word_counts(s: Segments) -> DataFrame:
-    return s.documents.select("doc_ord", F.size(words(F.col("masked"))).cast("long").alias("n_words"), F.octet_length("masked").cast("long").alias("n_bytes"))
+    return s.masked.select("doc_ord", F.size(words(F.col("masked"))).cast("long").alias("n_words"), F.octet_length("masked").cast("long").alias("n_bytes"))
 
 
 def severity_rollup(s: Segments) -> DataFrame:
-    table = Engine().rule_table(s.documents.sparkSession)
+    table = Engine().rule_table(s.texts.sparkSession)
     return _phrases(s).join(F.broadcast(table), "rule_id").groupBy("severity").agg(F.count("*").alias("n"), F.count_distinct("doc_ord").alias("n_docs"), F.count_distinct("rule_id").alias("n_rules"))
 
 
@@ -65,7 +65,7 @@ def located_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_ngrams(s: Segments) -> DataFrame:
-    _, grams = crossdoc.windows(crossdoc.cross_words(s.documents), RULES.thresholds("shared", "min_words"))
+    grams = crossdoc.windows(crossdoc.cross_words(s.texts), RULES.thresholds("shared", "min_words"))
     return crossdoc.shared_starts(grams, RULES.thresholds("shared", "min_files")).select("run", "n", "first_doc", "first_w")
 
 
@@ -89,7 +89,7 @@ def _rules_text(column: str = "rules"):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "masked": _segments(lambda s: s.documents.select("doc_ord", "masked")),
+    "masked": _segments(lambda s: s.masked),
     "lines": _segments(lambda s: s.lines.select("doc_ord", "line_no", "start", "end", "line", "blank", "structure", "prose", "indented")),
     "paragraphs": _segments(lambda s: s.paragraphs),
     "prose_blocks": _segments(lambda s: s.prose_blocks.select("doc_ord", "start", "end", "text")),
@@ -103,9 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_terms": _segments(lambda s: detect.top_terms(s).select("doc_ord", "start", "end", "term", "n", F.col("place").cast("long").alias("place"))),
     "dialect_american": _segments(lambda s: detect.dialect(s, "american").select(*FINDING)),
     "dialect_british": _segments(lambda s: detect.dialect(s, "british").select(*FINDING)),
-    "suppression_regions": _segments(lambda s: suppress.regions(s.documents).select("doc_ord", "start", "end", "marker_start", _rules_text().alias("rules"))),
-    "suppressed_findings": _segments(lambda s: _phrases(s).select(*FINDING).exceptAll(suppress.unsuppressed(_phrases(s).select(*FINDING), suppress.regions(s.documents)))),
-    "unknown_rules": _segments(lambda s: suppress.unknown_rules(s.documents, RULES.rule_ids).select("doc_ord", "marker_start", "rule")),
+    "suppression_regions": _segments(lambda s: suppress.regions(s.texts).select("doc_ord", "start", "end", "marker_start", _rules_text().alias("rules"))),
+    "suppressed_findings": _segments(lambda s: _phrases(s).select(*FINDING).exceptAll(suppress.unsuppressed(_phrases(s).select(*FINDING), suppress.regions(s.texts)))),
+    "unknown_rules": _segments(lambda s: suppress.unknown_rules(s.source, RULES.rule_ids).select("doc_ord", "marker_start", "rule")),
     "all_findings": all_findings,
     "located_findings": located_findings,
     "span_groups": lambda spark, sf_dir: locate.span_groups(Engine().scan(seeded(spark, sf_dir))),

@@ -1,6 +1,7 @@
 """Every detector below and at its boundary, scanned in one job; spans, masks, places and suppression on small texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from prosescan.config import Rules, Thresholds, parse_dictionary
 from prosescan.operators import crossdoc, locate, suppress
@@ -80,8 +81,8 @@ def test_spans_and_places(found):
 
 def test_masks_keep_bytes(cases):
     s = Segments(cases)
-    assert s.documents.where("octet_length(masked) <> octet_length(text)").count() == 0
-    masked = {r.name: r.masked for r in s.documents.collect()}
+    assert s.masked.join(s.source, "doc_ord").where("octet_length(masked) <> octet_length(text)").count() == 0
+    masked = {name: r.masked for name, r in zip(CASES, s.masked.orderBy("doc_ord").collect(), strict=True)}
     assert "delve" not in masked["phrase in a fence"] and masked["unclosed front matter"] == CASES["unclosed front matter"][0]
 
 
@@ -153,10 +154,13 @@ def test_shared_runs_by_brute_force(spark, n, files):
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(12)]
     df = spark.createDataFrame([(k, f"d{k}", t) for k, t in enumerate(texts)], "doc_ord long, name string, text string")
     s = Segments(df)
-    got = crossdoc.shared_runs(s.documents, suppress.regions(s.documents), n, files).collect()
+    got = crossdoc.shared_runs(s, suppress.regions(s.texts), n, files).collect()
     assert sorted((r.matched, r.doc_ord) for r in got) == runs(texts, n, files)
 
 
 def test_links_are_words(spark):
-    df = spark.createDataFrame([(0, "a", "See https://a.b/c?d=e now, xhttp://f.g too")], "doc_ord long, name string, text string")
-    assert [r.word for r in crossdoc.cross_words(Segments(df).documents).orderBy("w").collect()] == ["see", "https://a.b/c?d=e", "now", "xhttp", "http://f.g", "too"]
+    df = spark.createDataFrame([(0, "a", "See https://a.b/c?d=e now, xhttp://f.g too yhttps://! end")], "doc_ord long, name string, text string")
+    text = df.first().text
+    (row,) = crossdoc.cross_words(Segments(df).texts).select("words", F.transform(F.sequence(F.lit(0), F.size("words") - 1), crossdoc.start_of).alias("starts"), "spans").collect()
+    assert row.words == ["see", "https://a.b/c?d=e", "now", "xhttp", "http://f.g", "too", "yhttps", "end"]
+    assert [text[a : a + s.size].lower() for a, s in zip(row.starts, row.spans, strict=True)] == row.words
