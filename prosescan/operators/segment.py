@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosescan.functions.stored import stored
 from prosescan.functions.text import BLANK_LINES, LIST_ITEM, SPACE, lead, trim, trim_left, words
 
 
@@ -73,15 +74,23 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 class Segments:
-    """Segments of documents. whole: many detectors will read them, so that masking pays to be done once, before the exchange."""
+    """Segments of documents."""
 
-    def __init__(self, docs: DataFrame, whole: bool = False):
+    def __init__(self, docs: DataFrame):
         #: doc_ord and the text as it is.
         self.source = docs.select(F.col("doc_ord").cast("long").alias("doc_ord"), F.coalesce("text", F.lit("")).alias("text"))
         self.masked = mask(self.source).select("doc_ord", "masked")
         self.documents = self.masked.repartition("doc_ord")
         #: What detectors without windows read.
-        self.texts = self.documents if whole else self.masked
+        self.texts = self.masked
+
+    def stored(self) -> Segments:
+        """The same segments written to the shared folder, for scans by many detectors: each reads the columns it needs, and no plan holds
+        the segmentation of another."""
+        self.masked = self.documents = self.texts = stored(self.masked, "masked")
+        for name in ("lines", "paragraphs", "sentences"):  # the later ones are made of the earlier
+            self.__dict__[name] = stored(getattr(self, name), name)
+        return self
 
     @cached_property
     def lines(self) -> DataFrame:

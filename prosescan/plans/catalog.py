@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosescan.config import Rules, parse_dictionary
+from prosescan.config import Rules, Thresholds, parse_dictionary
 from prosescan.functions.text import words
 from prosescan.operators import crossdoc, detect, locate, suppress
 from prosescan.operators.segment import Segments
 from prosescan.plans import oracles as o
 from prosescan.plans.corpora import seeded
-from prosescan.plans.engine import Engine
+from prosescan.plans.engine import Engine, at_least
+from prosescan.sources.documents import from_conversations, from_pages, from_table
 
 RULES = Rules()
 FINDING = ["doc_ord", "rule_id", "start", "end", "matched", "expected"]
@@ -64,6 +65,32 @@ def located_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine().scan_located(seeded(spark, sf_dir)).select("doc_ord", "rule_id", "start", "end", "line", "column")
 
 
+def placed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of every finding, and its rank in its document's report."""
+    found = locate.numbered_findings(Engine().scan_located(seeded(spark, sf_dir)))
+    return found.select("doc_ord", "rule_id", "start", "end", "line", "column", "end_line", "end_column", F.col("place").cast("long").alias("place"))
+
+
+def all_findings_american(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(Rules(dialect="american")).scan(seeded(spark, sf_dir)).select("doc_ord", "rule_id", "severity", "matched", "expected", "start", "end")
+
+
+TUNED = Thresholds({"composition": {"fractal_summaries": {"min_openings": 2}, "dead_metaphor": {"min_repeats": 2}}, "paragraph_structure.listicle_in_trench_coat": {"min_paragraphs": 2}})
+
+
+def tuned_findings(s: Segments) -> DataFrame:
+    return detect.fractal(s, TUNED).unionByName(detect.dead_metaphor(s, TUNED)).unionByName(detect.listicle(s, TUNED)).select(*FINDING)
+
+
+def severe_phrases(s: Segments) -> DataFrame:
+    named = _phrases(s).join(F.broadcast(Engine().rule_table(s.texts.sparkSession)), "rule_id")
+    return at_least(named, "medium").groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+def _read(name: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def shared_ngrams(s: Segments) -> DataFrame:
     grams = crossdoc.windows(crossdoc.cross_words(s.texts), RULES.thresholds("shared", "min_words"))
     return crossdoc.shared_starts(grams, RULES.thresholds("shared", "min_files")).select("run", "n", "first_doc", "first_w")
@@ -78,8 +105,8 @@ def dictionary_overrides(s: Segments) -> DataFrame:
 
 
 def _overrides_sql() -> str:
-    rows = [(o.folded(x), p.id) for p in Rules.of(parse_dictionary(OVERRIDES)).patterns for x in p.phrases]
-    found = o.matches("found", "masked", "doc_ord", o.low("masked"), o.trie_regex(o.reachable([x for x, _ in rows]), ahead=False))
+    rows = [(x.translate(str.maketrans(o.UPPER, o.LOWER)), p.id) for p in Rules.of(parse_dictionary(OVERRIDES)).patterns for x in p.phrases]
+    found = o.matches("found", "masked", "doc_ord", o.low("masked"), o.either([x for x, _ in rows]))
     table = ", ".join(f"({o.q(x)}, {o.q(r)})" for x, r in rows)
     return o.sql(found, f"phrases(phrase, rule_id) as (values {table})", select="select rule_id, phrase, count(*) as n from found join phrases on phrase = m group by all")
 
@@ -112,9 +139,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shared_ngrams": _segments(shared_ngrams),
     "shared_runs": shared_runs,
     "dictionary_overrides": _segments(dictionary_overrides),
+    "placed_spans": placed_spans,
+    "all_findings_american": all_findings_american,
+    "tuned_findings": _segments(tuned_findings),
+    "severe_phrases": _segments(severe_phrases),
+    "table_documents": _read("documents", from_table),
+    "conversation_documents": _read("conversations", from_conversations),
+    "page_documents": _read("pages", from_pages),
 }
 
-_line, _column = o.at("start")
+_line, _column = o.at(o.upto("start"))
+#: The part of the text before the last character of a finding.
+_last = f"""left({o.upto('"end"')}, length({o.upto('"end"')}) - 1)"""
+_end_line, _end_column = o.at(_last)
 ORACLE_SQL: dict[str, str] = {
     "masked": o.sql(select="select doc_ord, masked from masked"),
     "lines": o.sql(o.LINES, select='select doc_ord, line_no, start, "end", line, blank, structure, prose, indented from lines'),
@@ -145,4 +182,12 @@ ORACLE_SQL: dict[str, str] = {
     "shared_ngrams": o.sql(o.SHARED, select="select run, n, first[1] as first_doc, first[2] as first_w from shared_ngrams"),
     "shared_runs": o.sql(o.regions("regions", "masked", "masked"), o.RUNS, select='select run_doc, run_start, rule_id, matched, doc_ord, start, "end" from kept join quoted using (run)'),
     "dictionary_overrides": _overrides_sql(),
+    "placed_spans": o.sql(o.ALL, select=f"""select doc_ord, rule_id, start, "end", {_line} as line, {_column} as "column", {_end_line} as end_line, {_end_column} as end_column,
+      row_number() over (partition by doc_ord order by start, "end", det, seq, rule_id) as place from all_findings join docs using (doc_ord)"""),
+    "all_findings_american": o.sql(o.ALL_AMERICAN, select='select doc_ord, rule_id, severity, matched, expected, start, "end" from all_findings'),
+    "tuned_findings": o.sql(o.PARAGRAPHS, o.fractal(2), o.metaphor(2), o.listicle(2), select=" union all ".join(f"select {_FINDING_SQL} from {n}" for n in ("fractal", "dead_metaphor", "listicle"))),
+    "severe_phrases": o.sql(o.PHRASES, select="select rule_id, severity, count(*) as n from phrase_findings join (select distinct rule_id, severity from phrase_table) using (rule_id) where severity <> 'low' group by all"),
+    "table_documents": "select doc_id as doc_ord, 'doc_id-' || doc_id as name, coalesce(text, '') as text from documents",
+    "conversation_documents": "select conv_id as doc_ord, 'conv-' || conv_id as name, string_agg(coalesce(text, ''), chr(10) || chr(10) order by turn, role, text) as text from conversations group by conv_id",
+    "page_documents": r"""select page_id as doc_ord, url as name, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g'), '<[^>]*>', chr(10), 'g') as text from pages""",
 }

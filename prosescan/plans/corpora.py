@@ -62,6 +62,3 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded corpus of the documents under sf_dir."""
     return spark.sql(SEEDED.format(string="string").replace("from documents", "from {docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-
-def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as doc_ord", "'doc-' || doc_id as name", "text")

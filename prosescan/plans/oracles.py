@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from prosescan.config import Rules, folded
+from prosescan.config import Rules
 from prosescan.dimensions import BUILTIN_RULES, COMPANIES, DEAD_METAPHORS, ORDINALS, STOP_WORDS, SUMMARIES, spellings
-from prosescan.functions.text import BLANK_LINES, LOWER, SPACE, UPPER, WORD, reachable, trie_regex
 from prosescan.plans.corpora import SEEDED
 
 T = Rules().thresholds
 
+# Written out again, so that a mistake in the engine's own patterns shows.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = "\t\n\\x0B\\x0C\r \\x{85}\\x{A0}\\x{1680}\\x{2000}\\x{2001}\\x{2002}\\x{2003}\\x{2004}\\x{2005}\\x{2006}\\x{2007}\\x{2008}\\x{2009}\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+WORD = "(?:[a-z]|[A-Z]|[0-9]|')+"
+BLANK_LINES = f"\n[{SPACE}]*\n"
+
+
+def either(literals: list[str]) -> str:
+    """The first of the literals that is found at a place, one after the other; case aside for ASCII."""
+    escaped = ("".join("\\" + c if c in "\\^$.|?*+()[]{}" else c for c in x.translate(str.maketrans(UPPER, LOWER))) for x in literals)
+    return "(?:" + "|".join(escaped) + ")"
+
 
 def q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
@@ -146,8 +157,8 @@ markdown_blocks as (
   where not blank group by doc_ord, block
 )"""
 
-_PHRASES = [(folded(x), p.id, p.severity) for p in Rules().patterns for x in p.phrases]
-PHRASES = matches("phrase_matches", "masked", "doc_ord", low("masked"), trie_regex(reachable([x for x, _, _ in _PHRASES]), ahead=False)) + f""",
+_PHRASES = [(x.translate(str.maketrans(UPPER, LOWER)), p.id, p.severity) for p in Rules().patterns for x in p.phrases]
+PHRASES = matches("phrase_matches", "masked", "doc_ord", low("masked"), either([x for x, _, _ in _PHRASES])) + f""",
 phrase_table(phrase, rule_id, severity) as (values {", ".join(f"({q(x)}, {q(r)}, {q(s)})" for x, r, s in _PHRASES)}),
 phrase_findings as (
   select doc_ord, rule_id, start, "end", {cut("masked", "start", '"end"')} as matched, null::varchar as expected, 0 as det, 0::bigint as seq
@@ -206,9 +217,19 @@ def opens(values) -> str:
     return "(" + " or ".join(f"starts_with({low('text')}, {q(v)})" for v in values) + ")"
 
 
-LISTICLE = finding("listicle", f"""select doc_ord, start, stop as "end" from (select *, lead("end", {T("listicle", "min_paragraphs") - 1}) over (partition by doc_ord order by start) as stop from paragraphs where {opens(ORDINALS)}) where stop is not null""", 5)
-FRACTAL = finding("fractal", f"""select doc_ord, min(start) as start, max("end") as "end" from paragraphs where {opens(SUMMARIES)} group by doc_ord having count(*) >= {T("fractal", "min_openings")}""", 6)
-METAPHOR = matches("word_matches", "masked", "doc_ord", low("masked"), WORD) + "," + finding("dead_metaphor", f"""select doc_ord, min(start) as start, max("end") as "end" from word_matches where m in ({listed(DEAD_METAPHORS)}) group by doc_ord, m having count(*) >= {T("dead_metaphor", "min_repeats")}""", 7)
+def fractal(least: int) -> str:
+    return finding("fractal", f"""select doc_ord, min(start) as start, max("end") as "end" from paragraphs where {opens(SUMMARIES)} group by doc_ord having count(*) >= {least}""", 6)
+
+
+def listicle(least: int) -> str:
+    return finding("listicle", f"""select doc_ord, start, stop as "end" from (select *, lead("end", {least - 1}) over (partition by doc_ord order by start) as stop from paragraphs where {opens(ORDINALS)}) where stop is not null""", 5)
+
+
+def metaphor(least: int) -> str:
+    return matches("word_matches", "masked", "doc_ord", low("masked"), WORD) + "," + finding("dead_metaphor", f"""select doc_ord, min(start) as start, max("end") as "end" from word_matches where m in ({listed(DEAD_METAPHORS)}) group by doc_ord, m having count(*) >= {least}""", 7)
+
+
+FRACTAL, LISTICLE, METAPHOR = fractal(T("fractal", "min_openings")), listicle(T("listicle", "min_paragraphs")), metaphor(T("dead_metaphor", "min_repeats"))
 TOP = f"""
 top_terms as (
   select doc_ord, start, "end", term, n, place
@@ -268,17 +289,28 @@ def covered(f: str, r: str) -> str:
 DETECTORS = [PHRASES, EM_DASH, DECORATION, LINES, BOLD, BLOCKS, ANAPHORA, TRICOLON, FRAGMENTS, ANALOGY, LISTICLE, FRACTAL, METAPHOR, DILUTION, DUP_PARAGRAPHS, DUP_SENTENCES]
 NAMES = ["phrase_findings", "em_dash", "decoration", "bold_leads", "anaphora", "tricolon", "fragments", "analogy", "listicle", "fractal", "dead_metaphor", "dilution", "dup_paragraphs", "dup_sentences"]
 _RULE_ROWS = [(p.id, p.name, p.severity, "phrase") for p in Rules().patterns] + list(BUILTIN_RULES.values())
-ALL = ",".join(DETECTORS) + "," + regions("regions", "masked", "masked") + f""",
+
+
+def everything(names: list[str]) -> str:
+    return regions("regions", "masked", "masked") + f""",
 rule_table(rule_id, rule_name, severity, kind) as (values {", ".join("(" + listed(r) + ")" for r in _RULE_ROWS)}),
-raw_findings as ({" union all ".join(f"select * from {n}" for n in NAMES)}),
+raw_findings as ({" union all ".join(f"select * from {n}" for n in names)}),
 all_findings as (
-  select doc_ord, rule_id, rule_name, severity, kind, matched, start, "end", min(det) as det, min(seq) as seq
+  select doc_ord, rule_id, rule_name, severity, kind, matched, expected, start, "end", min(det) as det, min(seq) as seq
   from raw_findings f join rule_table using (rule_id) where not exists (select 1 from regions r where {covered("f", "r")}) group by all
 )"""
 
 
-def at(offset: str) -> tuple[str, str]:
-    before = f"decode(encode(text)[1:{offset}])"
+ALL = ",".join(DETECTORS) + "," + everything(NAMES)
+ALL_AMERICAN = ",".join([*DETECTORS, dialect("american")]) + "," + everything([*NAMES, "dialect"])
+
+
+def upto(offset: str) -> str:
+    return f"decode(encode(text)[1:{offset}])"
+
+
+def at(before: str) -> tuple[str, str]:
+    """Line and column behind this part of the text."""
     return f"length({before}) - length(replace({before}, chr(10), '')) + 1", f"length(regexp_replace(regexp_extract({before}, '[^\\n]*\\z'), '\\r\\z', '')) + 1"
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosescan.dimensions import BUILTIN_RULES, SYMBOLS
-from prosescan.operators.locate import place
+from prosescan.operators.locate import numbered_findings, place
 from prosescan.sources.documents import STDIN
 
 VERSION = 1
+TINTS = {"low": "\x1b[36m", "medium": "\x1b[33m", "high": "\x1b[31m"}
 
 
 def ordered(located: DataFrame, docs: DataFrame) -> list:
@@ -30,6 +31,13 @@ def shared_places(shared: DataFrame, docs: DataFrame) -> list[tuple[str, list]]:
     return [(next(iter(places := list(group))).matched, places) for _, group in groupby(rows, key=lambda r: (r.run_doc, r.run_start))]
 
 
+def json_rows(located: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_ord, place and json: each finding as a line of JSON, where it is found; to be written as text by any sink of Spark's."""
+    named = numbered_findings(located.join(docs.select("doc_ord", F.col("name").alias("path")), "doc_ord"))
+    entry = F.struct("rule_id", "rule_name", "severity", "kind", "path", "line", "column", "matched", "expected")
+    return named.select("doc_ord", "place", F.to_json(entry).alias("json"))
+
+
 def to_json(found: Iterable, shared: Iterable[tuple[str, list]], dictionary: str | None = None) -> str:
     findings = []
     for r in found:
@@ -51,15 +59,16 @@ def _quoted(text: str) -> str:
     return "\n     ".join(x.removesuffix("\r") for x in text.removesuffix("\n").split("\n"))
 
 
-def to_text(found: Iterable, shared: Iterable[tuple[str, list]]) -> str:
+def to_text(found: Iterable, shared: Iterable[tuple[str, list]], colour: bool = False) -> str:
     """An entry for each span: its rules, its place, and each distinct text once."""
     out = []
+    tint = lambda severity, x: f"{TINTS[severity]}{x}\x1b[0m" if colour else x
     for _, group in groupby(found, key=lambda r: (r.doc_ord, r.start, r.end)):
         rows = list(group)
-        out += [f"{SYMBOLS[r.severity]} {r.severity} {r.kind} {r.rule_id}" for r in rows]
+        out += [f"{tint(r.severity, f'{SYMBOLS[r.severity]} {r.severity}')} {r.kind} {r.rule_id}" for r in rows]
         texts = list(dict.fromkeys(_quoted(r.matched) + (f" → {r.expected}" if r.expected is not None else "") for r in rows))
         out += [f"  ├─ {_origin(rows[0])}", *(f"  ├─ {t}" for t in texts[:-1]), f"  └─ {texts[-1]}"]
     rule_id, _, severity, kind = BUILTIN_RULES["shared"]
     for matched, places in shared:
-        out += [f"{SYMBOLS[severity]} {severity} {kind} {rule_id}", *(f"  ├─ {_origin(p)}" for p in places), f"  └─ {_quoted(matched)}"]
+        out += [f"{tint(severity, f'{SYMBOLS[severity]} {severity}')} {kind} {rule_id}", *(f"  ├─ {_origin(p)}" for p in places), f"  └─ {_quoted(matched)}"]
     return "".join(x + "\n" for x in out)

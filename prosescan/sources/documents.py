@@ -15,19 +15,24 @@ STDIN = "-"
 SCHEMA = "doc_ord long, name string, text string"
 
 
+def _uri(path: str) -> str:
+    """A path with a scheme of its own (of any store that Spark reads) as it is, another one as a local file."""
+    return path if "://" in path else Path(path).resolve().as_uri()
+
+
 def from_files(spark: SparkSession, paths: list[str], excludes: Excludes | None = None) -> DataFrame:
     """Files named, whole, in the order given; excluded ones aren't read, so they may be missing. Any other failure is raised before
     there is output."""
     kept = [p for p in paths if not (excludes and excludes(p))]
-    if missing := [p for p in kept if not Path(p).is_file()]:
-        raise SourceError(f"failed to read `{missing[0]}`")
+    if missing := [p for p in kept if "://" not in p and not Path(p).is_file()]:
+        raise SourceError(f"{missing[0]}: there is no such file")
     if not kept:
         return spark.createDataFrame([], SCHEMA)
-    order = spark.createDataFrame([(i, p, Path(p).resolve().as_uri()) for i, p in enumerate(kept)], "doc_ord long, name string, uri string")
-    files = spark.read.format("binaryFile").load(sorted({Path(p).resolve().as_uri() for p in kept})).select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), "content")
+    order = spark.createDataFrame([(i, p, _uri(p)) for i, p in enumerate(kept)], "doc_ord long, name string, uri string")
+    files = spark.read.format("binaryFile").load(sorted({_uri(p) for p in kept})).select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), "content")
     docs = order.join(files, "uri", "left").withColumn("fine", F.expr("content is not null and is_valid_utf8(cast(content as string))"))
     if bad := docs.where(~F.col("fine")).orderBy("doc_ord").select("name").first():
-        raise SourceError(f"failed to read `{bad.name}`: it isn't UTF-8 text")
+        raise SourceError(f"{bad.name}: this isn't UTF-8 text")
     return docs.select("doc_ord", "name", F.col("content").cast("string").alias("text"))
 
 
@@ -39,7 +44,7 @@ def from_stdin(spark: SparkSession) -> DataFrame:
     try:
         return from_text(spark, sys.stdin.buffer.read().decode("utf-8"))
     except UnicodeDecodeError as error:
-        raise SourceError("failed to read standard input: it isn't UTF-8 text") from error
+        raise SourceError("standard input: this isn't UTF-8 text") from error
 
 
 def from_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
