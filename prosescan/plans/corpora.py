@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from prosescan.config import bundled_patterns
+from prosescan.sources.documents import spread
 
 NL = "chr(10)"
 
@@ -60,5 +61,5 @@ SEEDED = "select doc_id as doc_ord, concat('doc-', cast(doc_id as {string})) as
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded corpus of the documents under sf_dir."""
-    return spark.sql(SEEDED.format(string="string").replace("from documents", "from {docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.sql(SEEDED.format(string="string").replace("from documents", "from {docs}"), docs=spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 

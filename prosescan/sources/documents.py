@@ -15,6 +15,12 @@ STDIN = "-"
 SCHEMA = "doc_ord long, name string, text string"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read from files, dealt out to all cores if its files give fewer splits than there are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _uri(path: str) -> str:
     """A path with a scheme of its own (of any store that Spark reads) as it is, another one as a local file."""
     return path if "://" in path else Path(path).resolve().as_uri()
