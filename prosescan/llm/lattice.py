@@ -33,9 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosescan.llm.common import text_of
+from prosescan.llm.common import text_of, tidied
 
-MARK, LONG, AT_ONCE = "▁", 60, 500
+MARK, LONG, AT_ONCE = "▁", 60, 250
 #: Before a mark that follows another character; between a letter and a comma or full stop; around line feeds.
 CUTS = rf"(?<=[^{MARK}])(?={MARK})|(?<=\p{{L}})(?=[,.])|(?=\n)|(?<=\n)"
 
@@ -264,7 +264,6 @@ def encode(docs: DataFrame, model_path: str, *, with_ids: bool = False, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, p = lattice(model_path), pieces(model_path)
         for batch in batches:
-            pa.default_memory_pool().release_unused()
             for a in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(a, AT_ONCE)
                 column = some.column(1)
@@ -285,9 +284,11 @@ def encode(docs: DataFrame, model_path: str, *, with_ids: bool = False, id_col:
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+                del some, column, flat, coded, place, ids, back, text, raw, columns
+                pa.default_memory_pool().release_unused()
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, units(text_of(text_col)).alias("units")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+    return docs.select(id_col, units(text_of(text_col)).alias("units")).mapInArrow(tidied(run), f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def _bytes(strings: pa.Array) -> np.ndarray:

@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosescan.llm.boosting import Boosting, Isotonic
+from prosescan.llm.common import slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
+#: Bytes of text worked on at once.
+SLICE_BYTES = 4_000_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -252,7 +255,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", red
 
     kind = dict(docs.dtypes)[id_col]
     fields = [f"doc_id {kind}", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", "n_added long", *["redacted string"] * redact]
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(fields))
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), ", ".join(fields))
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
@@ -262,10 +265,11 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            texts = [None if t is None else redacted(t, (base := base_spans(t)) + model.accepted(t, base)) for t in batch.column(k).to_pylist()]
-            columns = list(batch.columns)
-            columns[k] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for some in slices(batch, k, SLICE_BYTES):
+                texts = [None if t is None else redacted(t, (base := base_spans(t)) + model.accepted(t, base)) for t in some.column(k).to_pylist()]
+                columns = list(some.columns)
+                columns[k] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, some.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -24,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosescan.llm.boosting import Boosting, Isotonic
+from prosescan.llm.common import slices, tidied
 
 #: Labelled rows that are learned from at most.
 FIT_ROWS = 20_000
 REJECT = 0.7
+#: Bytes of text scored at once.
+SLICE_BYTES = 4_000_000
 FOLDS = 3
 INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb ugly jerk fool imbecile freak creep garbage filth vermin pig coward liar hate kill die shut".split())
 YOU = frozenset("you your yours yourself u ur ya du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
@@ -126,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, of: int = 3, held_out: int = 1,
             keys = list(set().union(*seen))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], ["term", "n0", "n1", "n2", "n3"])
 
-    sums = rows.mapInArrow(tally, "term string, n0 long, n1 long, n2 long, n3 long").groupBy("term").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
+    sums = rows.mapInArrow(tidied(tally), "term string, n0 long, n1 long, n2 long, n3 long").groupBy("term").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
     found = {r.term: r[1:] for r in sums.where("term = '' or (n1 + n3 >= 3 and n1 + n3 >= n0 + n2)").collect()}
     totals = found.pop("", (0, 0, 0, 0))
 
@@ -142,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, of: int = 3, held_out: int = 1,
             x = [features(t or "", other[part & 1]) for part, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["toxic", "part", "x"])
 
-    seen = sorted(((r.part, r.toxic, *r.x) for r in rows.mapInArrow(look, "toxic int, part int, x array<double>").collect()))
+    seen = sorted(((r.part, r.toxic, *r.x) for r in rows.mapInArrow(tidied(look), "toxic int, part int, x array<double>").collect()))
     data = np.array(seen, np.float64).reshape(len(seen), 2 + len(NAMES))
     return Model(lexicon_of((0, 1)), data[:, 2:], data[:, 1] > 0, data[:, 0] // 2 % FOLDS)
 
@@ -153,13 +156,12 @@ def score(docs: DataFrame, labels: DataFrame, *, of: int = 3, held_out: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                some = batch.slice(a, 2000)
+            for some in slices(batch, 1, SLICE_BYTES):
                 p = model.scores([t or "" for t in some.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(p), pa.array((p >= reject).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", (remainder("doc_id", of) == held_out).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", (remainder("doc_id", of) == held_out).alias("held_out")).mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, **options) -> DataFrame:
@@ -168,9 +170,9 @@ def clean_documents(docs: DataFrame, labels: DataFrame, *, reject: float = REJEC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            for a in range(0, batch.num_rows, 2000):
-                p = model.scores([t or "" for t in texts.slice(a, 2000).to_pylist()])
-                yield batch.slice(a, 2000).filter(pa.array(p < reject))
+            k = batch.schema.get_field_index("text")
+            for some in slices(batch, k, SLICE_BYTES):
+                p = model.scores([t or "" for t in some.column(k).to_pylist()])
+                yield some.filter(pa.array(p < reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
