@@ -8,12 +8,14 @@ import re
 
 import pytest
 
+from prosescan import report
 from prosescan.cli import run
 from prosescan.config import Rules, Thresholds, bundled_patterns, find_dictionary, parse_dictionary, validate, Pattern
 from prosescan.dimensions import SOURCES, spellings
 from prosescan.errors import DictionaryInvalid, DictionaryLoadError, ExcludeError, SourceError
 from prosescan.functions.text import reachable, trie_regex
-from prosescan.plans.engine import Engine
+from prosescan.operators.segment import numbered
+from prosescan.plans.engine import Engine, at_least
 from prosescan.sources.documents import from_conversations, from_files, from_pages, from_table
 from prosescan.sources.globs import Excludes, glob_regex
 from prosescan.streaming.micro_batch import scan_stream_to_parquet
@@ -106,6 +108,23 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert scan(spark, tmp_path, ["missing.md"])[0] == 2
 
 
+def test_rows_of_json_and_colours(spark):
+    docs = spark.createDataFrame([(3, "d3", "We delve into it, and robust it is.")], "doc_ord long, name string, text string")
+    located = Engine().scan_located(docs)
+    rows = report.json_rows(located, docs).orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1)) and json.loads(rows[0].json)["path"] == "d3" and json.loads(rows[0].json)["matched"] == "delve into"
+    text = report.to_text(report.ordered(located, docs), [], colour=True)
+    assert "\x1b[" in text and "\x1b[" not in report.to_text(report.ordered(located, docs), [])
+    severe = at_least(located, "high")
+    assert {r.severity for r in severe.collect()} <= {"high"} and at_least(located, "low").count() == located.count()
+
+
+def test_rows_without_ids_are_numbered(spark):
+    rows = spark.createDataFrame([(None, "a", "We delve into it."), (1, "b", "Robust."), (1, "c", "We delve into it.")], "doc_ord long, name string, text string")
+    found = Engine().scan(numbered(rows)).collect()
+    assert len({r.doc_ord for r in found}) == len(found) == 3
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes("é\r\n".encode())
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
