@@ -23,7 +23,6 @@ columns aren't read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,8 +43,12 @@ SLICE_BYTES = 6_000_000
 LEAST, ROOT = 50, 36
 #: Where sums of squared gradients start: little, as a rare token's are small.
 FIRST_SQUARE = 1e-6
+#: Distinct words that a task of the count holds at most, about, before it passes sums on.
+HELD_WORDS = 1_000_000
 #: Rows of the parameters that are averaged together.
 PART = 4096
+#: Scores up to this size are exponentiated in single precision as they are; beyond it the greatest of a row is taken off first.
+SAFE = 40.0
 END = b""
 
 
@@ -53,17 +56,33 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of texts (the first is END), the word of every token as a number into them, and the texts' numbers of tokens."""
+def words_of(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The texts' parts between white space, one after the other (empty at either end of a text that starts or ends with it), and their numbers."""
     column = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat = column.flatten()
-    of = np.repeat(np.arange(len(texts)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
-    filled = pc.greater(pc.binary_length(flat), 0)  # white space at either end of a text leaves empty parts
+    return column.flatten(), pc.list_value_length(column)
+
+
+def distinct_words(texts: pa.Array) -> pa.Array:
+    """Distinct words of texts as binary, with END."""
+    return pc.unique(pa.concat_arrays([pa.array([END], pa.binary()), pc.unique(words_of(texts)[0]).cast(pa.binary())]))
+
+
+def tallied(texts: pa.Array) -> pa.Table:
+    """word binary, n long: of the words of texts and their ends."""
+    flat, _ = words_of(texts)
+    got = pc.value_counts(flat.filter(pc.greater(pc.binary_length(flat), 0)))
+    return pa.table([pa.concat_arrays([got.field(0).cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([got.field(1), pa.array([len(texts)], pa.int64())])], ["word", "n"])
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts as binary (the first is END), the word of every token as a number into them, and the texts' numbers of tokens."""
+    flat, parts = words_of(texts)
+    of = np.repeat(np.arange(len(texts)), parts.to_numpy(zero_copy_only=False))
+    filled = pc.greater(pc.binary_length(flat), 0)
     both = pc.dictionary_encode(flat.filter(filled))
-    of = of[filled.to_numpy(zero_copy_only=False)]
-    n_words = np.bincount(of, minlength=len(texts))
+    n_words = np.bincount(of[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
     place = np.insert(both.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.cumsum(n_words), 0)
-    return [END, *both.dictionary.cast(pa.binary()).to_pylist()], place, n_words + 1
+    return pa.concat_arrays([pa.array([END], pa.binary()), both.dictionary.cast(pa.binary())]), place, n_words + 1
 
 
 def class_of(word: bytes) -> int:
@@ -76,11 +95,11 @@ def class_of(word: bytes) -> int:
 
 def classes_of(words: pa.Array) -> np.ndarray:
     """class_of for an array of binary words."""
-    if isinstance(words, pa.ChunkedArray):
-        words = words.combine_chunks()
-    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
-    ends = np.cumsum(size)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    size, ends = np.diff(starts), starts[1:] - starts[0]
     filled = size > 0
     last, first = np.full(len(size), ord(" "), np.uint8), np.zeros(len(size), np.uint8)
     last[filled], first[filled] = raw[ends[filled] - 1], raw[(ends - size)[filled]]
@@ -97,6 +116,23 @@ def numbered(top: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray]:
     return {w: k for k, (_, n, w) in enumerate(order) if n < 1}, np.array([k for k, x in enumerate(order) if x[1] == 1])
 
 
+class Vocabulary:
+    """Outputs of words: a number of its own, or that of its class."""
+
+    def __init__(self, numbers: dict[bytes, int], rest: np.ndarray):
+        self.words, self.numbers, self.rest = pa.array(list(numbers), pa.binary()), np.array(list(numbers.values()), np.int64), rest
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For an array of binary words their outputs, which of them have none of their own, and the classes of these."""
+        at = pc.index_in(words, self.words)
+        rare = np.asarray(at.is_null())
+        out = np.empty(len(words), np.int64)
+        out[~rare] = self.numbers[np.asarray(at.drop_null())]
+        classes = classes_of(words.filter(pa.array(rare)))
+        out[rare] = self.rest[classes]
+        return out, rare, classes
+
+
 def remainder(column: str, of: int):
     """crc32 of the id as text, modulo of."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
@@ -108,7 +144,7 @@ def width_of(outputs: int) -> int:
 
 
 class Parameters:
-    """One matrix of rows (a vector and a bias): contexts at two positions, outputs within their groups, groups."""
+    """One matrix of rows (a vector and a bias): contexts at two positions (their biases stay 0), outputs within their groups, groups."""
 
     def __init__(self, outputs: int, unigram: np.ndarray, seed: int = 5):
         n, self.width = outputs, width_of(outputs)
@@ -118,11 +154,20 @@ class Parameters:
         self.rows[:, :SIZE] = np.random.default_rng(seed).normal(0, 0.1, (self.at[-1], SIZE))
         self.rows[self.at[2] : self.at[3], SIZE] = np.log(unigram / np.repeat(mass, self.width)[:n])
         self.rows[self.at[3] :, SIZE] = np.log(mass / mass.sum())
-        self._views()
 
-    def _views(self) -> None:
-        self.r1, self.r2, self.q, self.t = (self.rows[a:b, :SIZE] for a, b in zip(self.at, self.at[1:], strict=False))
-        self.b, self.c = self.rows[self.at[2] : self.at[3], SIZE], self.rows[self.at[3] :, SIZE]
+    def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The sums of two contexts' vectors, and a 1 that meets an output's bias in products of whole rows."""
+        out = self.rows.take(u, 0)
+        out += self.rows[self.at[1] : self.at[2]].take(v, 0)
+        out[:, SIZE] = 1
+        return out
+
+    def group_rows(self) -> np.ndarray:
+        return self.rows[self.at[3] :]
+
+    def rows_within(self, group: int) -> np.ndarray:
+        first = self.at[2] + group * self.width
+        return self.rows[first : min(first + self.width, self.at[3])]
 
     def flat(self) -> np.ndarray:
         return self.rows.ravel().copy()
@@ -137,9 +182,9 @@ class Trainer:
         self.p, self.rng, n = p, np.random.default_rng(seed), len(unigram)
         starts = range(0, n, p.width)
         mass = np.add.reduceat(unigram, np.array(starts))
-        #: Where a table of outputs starts (first row, vectors, biases), and its noise: of the groups, and of each group's own outputs.
-        self.groups = (p.at[3], p.t, p.c, *self._noise(mass))
-        self.within = [(p.at[2] + a, p.q[a : a + p.width], p.b[a : a + p.width], *self._noise(unigram[a : a + p.width])) for a in starts]
+        #: Where a table of outputs starts (first row, rows), and its noise: of the groups, and of each group's own outputs.
+        self.groups = (p.at[3], p.group_rows(), *self._noise(mass))
+        self.within = [(p.at[2] + a, p.rows_within(g), *self._noise(unigram[a : a + p.width])) for g, a in enumerate(starts)]
         self.squares = np.full((len(p.rows), 2), FIRST_SQUARE, np.float32)
         #: Training tokens that each row stood for.
         self.seen = np.zeros(len(p.rows), np.float32)
@@ -151,82 +196,98 @@ class Trainer:
     def _move(self, first: int, at: np.ndarray, grads: np.ndarray, n: int) -> None:
         """Only rows that occur move, by their own sums of squares."""
         order = np.argsort(at.astype(np.uint16) if len(self.p.rows) < 1 << 16 or int(at.max()) < 1 << 16 else at, kind="stable")  # short keys sort by digits
-        at = at[order]
+        at = at.take(order)
         starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        rows, g = first + at[starts], np.add.reduceat(grads[order], starts, axis=0) / np.float32(n)
-        own = self.squares[rows]
+        rows, g = first + at.take(starts), np.add.reduceat(grads.take(order, 0), starts, axis=0)
+        g /= np.float32(n)
+        own = self.squares.take(rows, 0)
         own[:, 0] += np.einsum("ij,ij->i", g[:, :SIZE], g[:, :SIZE]) * np.float32(BATCH / SIZE)
-        if g.shape[1] > SIZE:
-            own[:, 1] += g[:, SIZE] ** 2 * BATCH
+        own[:, 1] += g[:, SIZE] ** 2 * BATCH
         self.squares[rows] = own
         rate = np.float32(RATE * np.sqrt(n) / 16) / np.sqrt(own)
         g[:, :SIZE] *= rate[:, :1]
-        g[:, SIZE:] *= rate[:, 1:]
-        self.p.rows[rows, : g.shape[1]] -= g
+        g[:, SIZE] *= rate[:, 1]
+        self.p.rows[rows] = self.p.rows.take(rows, 0) - g
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, table: tuple) -> None:
         """One pass over a batch: contexts u and v, outputs w of a table."""
         p, n = self.p, len(w)
-        first, q, b, cumulative, ln_noise = table
-        context, target = p.r1[u] + p.r2[v], q[w]
+        first, q, cumulative, ln_noise = table
+        context, target = p.context(u, v), q.take(w, 0)
         noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(cumulative) - 1)
-        q_noise = q[noise]
-        real = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", context, target) + b[w] - ln_noise[w])))
-        false = 1 / (1 + np.exp(-(context @ q_noise.T + (b[noise] - ln_noise[noise])[None, :])))
-        d_real = (real - 1)[:, None]
-        d_context = d_real * target + false @ q_noise
-        d_output = np.concatenate([np.hstack([d_real * context, d_real]), np.hstack([false.T @ context, false.sum(0)[:, None]])])
-        self._move(0, u, d_context, n)
-        self._move(p.at[1], v, d_context, n)
-        self._move(first, np.concatenate([w, noise]), d_output, n)
+        q_noise = q.take(noise, 0)
+        false = context @ q_noise.T
+        false -= ln_noise[noise]
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.reciprocal(false, out=false)
+        d_real = 1 / (1 + np.exp(ln_noise.take(w) - np.einsum("ij,ij->i", context, target))) - 1
+        target *= d_real[:, None]
+        target += false @ q_noise
+        target[:, SIZE] = 0
+        d_noise = false.T @ context
+        context *= d_real[:, None]
+        self._move(0, u, target, n)
+        self._move(p.at[1], v, target, n)
+        self._move(first, np.concatenate([w, noise]), np.concatenate([context, d_noise]), n)
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """Batches of tokens for the groups, then batches of each group's tokens for its outputs."""
-        width, at = self.p.width, self.p.at
-        group, place = w // width, w % width
+        order, width, at = self.rng.permutation(len(w)), self.p.width, self.p.at
+        u, v, w = u.take(order), v.take(order), w.take(order)
+        group = w // width
         for first, x in ((0, u), (at[1], v), (at[2], w), (at[3], group)):
             n = np.bincount(x)
             self.seen[first : first + len(n)] += n
-        order = self.rng.permutation(len(w))
-        for a in range(0, len(order), BATCH):
-            k = order[a : a + BATCH]
+        for a in range(0, len(w), BATCH):
+            k = slice(a, a + BATCH)
             self.step(u[k], v[k], group[k], self.groups)
-        order = order[np.argsort(group[order], kind="stable")]
-        bounds = np.searchsorted(group[order], np.arange(len(self.within) + 1))
+        order, bounds = by_group(group, len(self.within))
+        u, v, place = u.take(order), v.take(order), (w % width).take(order)
         for g in self.rng.permutation(len(self.within)):
             for a in range(bounds[g], bounds[g + 1], BATCH):
-                k = order[a : min(a + BATCH, bounds[g + 1])]
+                k = slice(a, min(a + BATCH, bounds[g + 1]))
                 self.step(u[k], v[k], place[k], self.within[g])
 
 
+def by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens by group, and where each group starts and ends in it."""
+    order = np.argsort(group.astype(np.uint16) if groups <= 1 << 16 else group, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+
+
 class Scorer:
     """Log-probabilities of outputs under two contexts: of the group, and of the output in its group, each with its exact normaliser."""
 
     def __init__(self, flat: np.ndarray, outputs: int):
         self.p = Parameters(outputs, np.ones(outputs)).load(flat)
+        longest = lambda q: float(np.sqrt(np.einsum("ij,ij->i", q, q, dtype=np.float64).max()))
+        tables = [self.p.rows_within(g) for g in range(self.p.at[4] - self.p.at[3])]
+        #: The transposed rows of the groups, and of each group's outputs, with the length of the longest row.
+        self.groups, *self.within = [(np.ascontiguousarray(q.T), longest(q)) for q in (self.p.group_rows(), *tables)]
 
     @staticmethod
-    def _of(context: np.ndarray, q: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        s = context @ q.T
-        s += b
-        s -= s.max(1)[:, None]
-        own = s[np.arange(len(w)), w].astype(np.float64)
+    def _of(context: np.ndarray, reach: float, table: tuple[np.ndarray, float], w: np.ndarray | int) -> np.ndarray:
+        """Of outputs w of the table; no context is longer than reach, so no score is above SAFE in size unless the product is."""
+        s = context @ table[0]
+        if reach * table[1] > SAFE:
+            s -= s.max(1)[:, None]
+        own = s[np.arange(len(s)), w].astype(np.float64)
         np.exp(s, out=s)
         return own - np.log(s.sum(1))
 
     def __call__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         p, out = self.p, np.empty(len(w))
-        width, group = p.width, w // p.width
-        order = np.argsort(group, kind="stable")
-        for a in range(0, len(w), BATCH):
-            k = order[a : a + BATCH]
-            context, of = p.r1[u[k]] + p.r2[v[k]], group[k]
-            got = self._of(context, p.t, p.c, of)
-            bounds = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
-            for x, y in zip(bounds, bounds[1:], strict=False):
-                own = slice(of[x] * width, (of[x] + 1) * width)
-                got[x:y] += self._of(context[x:y], p.q[own], p.b[own], w[k[x:y]] - own.start)
-            out[k] = got
+        group = w // p.width
+        order, bounds = by_group(group, len(self.within))
+        u, v, place = u.take(order), v.take(order), (w % p.width).take(order)
+        for g in range(len(self.within)):
+            for a in range(bounds[g], bounds[g + 1], BATCH):
+                k = slice(a, min(a + BATCH, bounds[g + 1]))
+                context = p.context(u[k], v[k])
+                reach = float(np.sqrt(np.einsum("ij,ij->i", context, context).max()))
+                out[order[k]] = self._of(context, reach, self.groups, g) + self._of(context, reach, self.within[g], place[k])
         return out
 
 
@@ -248,27 +309,28 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np.ndarra
 def word_counts(docs: DataFrame) -> DataFrame:
     """word binary, n long: of all tokens of docs (text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for some in slices(batch, 0, SLICE_BYTES):
-                words, place, _ = coded(some.column(0))
-                for w, n in zip(words, np.bincount(place, minlength=len(words)).tolist(), strict=True):
-                    counts[w] += n
-                if len(counts) > 500_000:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+                held.append(tallied(some.column(0)))
+                rows += held[-1].num_rows
+                if rows > HELD_WORDS:
+                    held = [summed(held)]
+                    rows = held[0].num_rows
+                if rows > HELD_WORDS // 2 and len(held) == 1:
+                    yield from held[0].to_batches(max_chunksize=100_000)
+                    held, rows = [], 0
+        if held:
+            yield from summed(held).to_batches(max_chunksize=100_000)
 
     return docs.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trained(train: DataFrame, known_outputs: dict[bytes, int], rest: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+def trained(train: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> np.ndarray:
     """Parameters after a pass over all training tokens; each row averaged over the tasks by the tokens it stood for there."""
     outputs = len(unigram)
     start = Parameters(outputs, unigram)
@@ -282,7 +344,7 @@ def trained(train: DataFrame, known_outputs: dict[bytes, int], rest: np.ndarray,
         for batch in batches:
             for some in slices(batch, 0, SLICE_BYTES):
                 words, place, n = coded(some.column(0))
-                ids = np.array([known_outputs[w] if w in known_outputs else rest[class_of(w)] for w in words])[place]
+                ids = vocabulary(words)[0][place]
                 held.append((*contexts(ids, n, outputs), ids))
                 size += len(ids)
                 if size > 50 * BATCH:
@@ -327,51 +389,44 @@ def score(docs: DataFrame, *, of: int = 5, held_out: int = 1, vocabulary_size: i
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = counts.where(F.col("n") >= max(least, math.isqrt(n_all) // ROOT))
     top = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary_size).union(often).collect()}
-    vocabulary, rest = numbered(top)
-    outputs = len(vocabulary) + CLASSES
+    numbers, rest = numbered(top)
+    vocabulary, outputs = Vocabulary(numbers, rest), len(numbers) + CLASSES
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.zeros((CLASSES, 2))
-            for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if w not in vocabulary:
-                    sums[class_of(w)] += (n, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["class", "n", "kinds"])
+            _, rare, classes = vocabulary(batch.column(0))
+            n = np.bincount(classes, batch.column(1).to_numpy()[rare], minlength=CLASSES).astype(np.float64)
+            kinds = np.bincount(classes, minlength=CLASSES).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n), pa.array(kinds)], ["class", "n", "kinds"])
 
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.mapInArrow(classed, "class int, n double, kinds double").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
         mass[r["class"]], kinds[r["class"]] = r.n, r.kinds
     unigram = np.empty(outputs)
-    unigram[[vocabulary[w] for w in top]], unigram[rest] = list(top.values()), mass + 0.5
+    unigram[[numbers[w] for w in top]], unigram[rest] = list(top.values()), mass + 0.5
     unigram /= unigram.sum()
-    flat = trained(train, vocabulary, rest, unigram).tobytes()
+    flat = trained(train, vocabulary, unigram).tobytes()
     ln_class = np.log(mass + 0.5 * kinds + 0.5)
     base_of = n_all + 0.5 * (v_all + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def distinct(key: tuple, t: pa.Table) -> pa.Table:
-        words: set[bytes] = set()
-        for batch in t.select(["text"]).to_batches():
-            for some in slices(batch, 0, SLICE_BYTES):
-                words.update(coded(some.column(0))[0])
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+        words = pa.concat_arrays([pa.array([], pa.binary()), *(distinct_words(some.column(0)) for batch in t.select(["text"]).to_batches() for some in slices(batch, 0, SLICE_BYTES))]).unique()
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": words})
 
     def scores(t: pa.Table, dictionary: pa.Table) -> pa.Table:
         one_thread()
-        words, c = dictionary.column("word").to_pylist(), dictionary.column("n").to_numpy().astype(np.float64)
-        place = {w: k for k, w in enumerate(words)}
-        rare = np.array([w not in vocabulary for w in words], bool)
-        form = np.zeros(len(words), np.int64)
-        form[rare] = classes_of(dictionary.column("word").combine_chunks().filter(pa.array(rare)))
-        out = np.array([vocabulary.get(w, -1) for w in words], np.int64)
-        out[rare] = rest[form[rare]]
-        within = np.where(rare, np.log(c + 0.5) - ln_class[form], 0.0)
+        words, c = dictionary.column("word").cast(pa.binary()).combine_chunks(), dictionary.column("n").to_numpy().astype(np.float64)
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        out, rare, form = vocabulary(words)
+        within = np.zeros(len(words))
+        within[rare] = np.log(c[rare] + 0.5) - ln_class[form]
         base = np.log10((c + 0.5) / base_of)
         model, rows = scorer(flat, outputs), []
         for batch in t.select(["text"]).to_batches():
             for some in slices(batch, 0, SLICE_BYTES):
                 units, at, n = coded(some.column(0))
-                at = np.array([place[w] for w in units])[at]
+                at = np.asarray(pc.index_in(units, words))[at]
                 ids, starts = out[at], np.cumsum(n) - n
                 own = model(*contexts(ids, n, outputs), ids) + within[at]
                 sums = (np.add.reduceat(x, starts) for x in ((c[at] > 0).astype(np.int64), base[at], own))
