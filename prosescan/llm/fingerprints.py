@@ -10,7 +10,10 @@ their generalised Jaccard similarity, sum of minima over sum of maxima of the we
 each sample, in hexadecimal; the share of equal samples estimates the similarity.
 
 Defined cases: null texts count as empty; a text without words has the fingerprint of zeros, and is like another such
-text; equal texts have equal fingerprints; texts of any length are read whole; repeated ids are ordered by text.
+text; equal texts have equal fingerprints; texts of any length are read whole; rows of one id (or of none,
+which come last) are ordered by a hash of their text.
+
+Scale: a document's terms are held by its task alone; see neighbours for how documents meet the next ones.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
-from prosescan.llm import fingerprints, lattice, pii, tokencount, tokenfile
+from prosescan.llm import fingerprints, lattice, neighbours, pii, tokencount, tokenfile
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -145,6 +146,27 @@ def test_fingerprints(real, docs, no_docs):
     assert len(same) == 1 and all(r.fingerprint == "0" * 256 for r in out if r.doc_id in (4, 5))
 
 
+def test_the_next_document_where_ids_repeat(spark):
+    """Frequent ids and nulls, equal rows, few and many ranges: every row meets the next by (id, hash of the text, text)."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 5, 5, 5, 7, 9, *range(20)]), rng.choice(["", None, f"t{rng.randint(0, 900)} " * rng.randint(1, 30)])) for _ in range(900)]
+    rows += [(7, "the same")] * 200 + [(2**63 - 1, "last"), (-(2**63), "first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - ((h >> 63) << 64)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]), r[1]), reverse=True)
+    want = []
+    for k, (i, t) in enumerate(order):
+        cut, after = len(t) // 3, order[(k + 1) % len(order)][1]
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    before = neighbours.ROWS, neighbours.PART_BYTES
+    try:
+        for neighbours.ROWS, neighbours.PART_BYTES in ((1000, 10**9), (20, 2000)):
+            got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_edits(df).collect()]
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+    finally:
+        neighbours.ROWS, neighbours.PART_BYTES = before
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
