@@ -8,7 +8,8 @@ passes over the shard come first and what is left of its quota is a seeded choic
 from a document are those that the chosen blocks cover, so no document gives more than ``max_epochs`` times its size.
 
 Defined cases: null or empty texts have size 0 and give nothing; a null source is a source of its own, ordered last;
-repeated rows are separate documents; an empty table gives no rows; columns other than the id, text and source are
+repeated rows are separate documents;
+a row without an id is dealt by a hash of its text (equal rows, and rows of one id, share a shard, which is sorted and spilled by one task); an empty table gives no rows; columns other than the id, text and source are
 not read, so extra columns with any names do no harm. No words at all: every target is 0.
 
 Scale: one scan of the texts writes (id, source, size) to the shared folder. The driver holds a row per source and
@@ -37,18 +38,17 @@ STRIDE = 2_147_483_647
 
 def targets(sizes: list[int], weights: list[int], ratio: float, max_epochs: int) -> list[float]:
     """Shares of ratio * sum(sizes) by weight, none above max_epochs times its size."""
-    total, open_, out = float(sum(sizes)), list(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        fixed = float(sum(max_epochs * s for i, s in enumerate(sizes) if i not in set(open_)))
-        unit = (ratio * total - fixed) / float(sum(weights[i] for i in open_))
-        full = [i for i in open_ if weights[i] * unit > max_epochs * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * unit
+    # Those that reach their caps first, by cap for weight, are filled one after the other; the rest share what is left.
+    order = sorted(range(len(sizes)), key=lambda i: max_epochs * sizes[i] / weights[i])
+    total, filled, weight = float(sum(sizes)), 0, sum(weights)
+    out = [float(max_epochs * s) for s in sizes]
+    for k, i in enumerate(order):
+        unit = (ratio * total - filled) / weight
+        if weights[i] * unit <= max_epochs * sizes[i]:
+            for j in order[k:]:
+                out[j] = weights[j] * unit
             break
-        for i in full:
-            out[i] = float(max_epochs * sizes[i])
-        open_ = [i for i in open_ if i not in set(full)]
+        filled, weight = filled + max_epochs * sizes[i], weight - weights[i]
     return out
 
 
@@ -86,7 +86,7 @@ def block_words(total: int, least_target: float) -> int:
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source_ix, size, source_size, target, taken for every document; see the module."""
     spark = docs.sparkSession
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(text_of(text_col).cast("binary")))).alias("mark")), "mix-sizes")
     sources = [(r.source, r.words) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()]
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), ratio: float =
     per_shard = max(SHARD_WORDS, -(-total // MAX_SHARDS))
     shards = [max(1, -(-w // per_shard)) for w in sizes]
     plan = spark.createDataFrame([(s, i, n, w, g) for i, ((s, w), n, g) in enumerate(zip(sources, shards, goal, strict=True))], "m_source string, source_ix int, n_shards long, source_size long, target double")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("mark"))))
     dealt = (
         sized.join(plan, F.col("source").eqNullSafe(F.col("m_source")))
         .withColumn("key", key)

@@ -4,11 +4,11 @@ Features are densities of lexicon words, their closeness to second-person words,
 obfuscation (letters replaced by digits or signs, drawn-out letters, hits that only undoing such replacements gives).
 Beside a short fixed lexicon there is one of words and word beginnings that labelled texts show to be much more frequent
 in toxic ones. Learning uses labelled rows outside the held-out share only, at most FIT_ROWS of them, chosen by a hash of
-the id: the trees see each half of them with the lexicon that the other half gives; the calibration is fitted to margins
+the id, with one text each: the trees see each half of them with the lexicon that the other half gives; the calibration is fitted to margins
 of trees that did not see the row (FOLDS folds); scoring uses the lexicon of both halves and trees of all rows. Labels, language, source and id are no features.
 
 Defined cases: null texts count as empty; empty texts get the score that the trees give to zeros; rows without labels
-are scored alike; without labels of both kinds every score is the share of toxic labels smoothed; other columns aren't read.
+are scored alike; of an id with several texts one is learned from; without labels of both kinds every score is the share of toxic labels smoothed; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -119,7 +119,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, of: int = 3, held_out: int = 1,
         .orderBy("key", "doc_id").limit(fit_rows)
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.conv(F.substring("key", -2, 2), 16, 10).cast("int").alias("part"))
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "part", "text")
+    # One text for each labelled id, the least by its hash, so that repeated ids don't pass the bound.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "part", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
