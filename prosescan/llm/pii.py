@@ -9,7 +9,10 @@ span nor a likelier accepted one are added. No labelled personal data exists, so
 from sentences made by a seeded generator, with hard negatives (dates, versions, order numbers, sums, hashes).
 
 Defined cases: null texts count as empty; an empty text has no spans; equal texts have equal spans; texts of any
-length are read whole in one pass per pattern; offsets are code points, ends exclusive; other columns pass untouched.
+length are read whole in one pass per pattern; offsets are code points, ends exclusive; find reads no other columns, and
+redacted_documents passes them untouched.
+
+Scale: one pass over the texts, no shuffle; a task holds SLICE_BYTES of text at once, or one text.
 """
 
 from __future__ import annotations
@@ -241,7 +244,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", red
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *["redacted"] * redact]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, 1, SLICE_BYTES)):
             rows = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -250,8 +253,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", red
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added), *[redacted(text, base + added)] * redact))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] + [pa.string()] * redact
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     kind = dict(docs.dtypes)[id_col]
     fields = [f"doc_id {kind}", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", "n_added long", *["redacted string"] * redact]

@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from prosescan.llm import components, forest, logbilinear, mixing, ngramjoin, toxicity
+from prosescan.llm import components, forest, logbilinear, mixing, ngramjoin, pii, toxicity
 from prosescan.llm.boosting import Boosting, Isotonic
 
 
@@ -29,6 +29,30 @@ def test_targets_fill_up():
     assert mixing.targets([], [], 1.5, 2) == [] and mixing.targets([0], [3], 1.5, 2) == [0.0]
 
 
+def test_targets_by_rounds():
+    """Against rounds over all sources that are still open, as the contract words it."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        sizes, weights = rng.integers(0, 300, 9).tolist(), [(3, 1, 2)[i % 3] for i in range(9)]
+        open_, want = set(range(9)), [0.0] * 9
+        while open_:
+            unit = (1.5 * sum(sizes) - sum(2 * sizes[i] for i in range(9) if i not in open_)) / sum(weights[i] for i in open_)
+            full = {i for i in open_ if weights[i] * unit > 2 * sizes[i]}
+            if not full:
+                want = [weights[i] * unit if i in open_ else 2.0 * sizes[i] for i in range(9)]
+            open_ = open_ - full if full else set()
+        assert mixing.targets(sizes, weights, 1.5, 2) == pytest.approx(want)
+
+
+def test_mixing_of_rows_without_ids(spark, monkeypatch):
+    """They are dealt to shards by their texts, and the targets hold."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(mixing, "BLOCKS_OF_LEAST", 2000)  # a shard has over a hundred blocks, as in large tables
+    docs = spark.createDataFrame([(None, f"w{k} " * (1 + k % 30), "ab"[k % 2]) for k in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).groupBy("source_ix").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 2000 and all(abs(r["sum(taken)"] - r["max(target)"]) < 0.05 * r["max(target)"] for r in got)
+
+
 def test_mixing(real, docs, no_docs):
     for df, near in ((real, 0.05), (docs, 0.5)):
         rows = mixing.mix(df).collect()
@@ -241,10 +265,44 @@ def test_toxicity(spark, docs, no_docs):
     model_only = toxicity.score(docs, labels).collect()
     assert len(model_only) == docs.count() and all(0 <= r.score <= 1 for r in model_only)
     assert toxicity.score(no_docs, labels.limit(0)).count() == 0
-    assert {r.score for r in toxicity.score(docs.limit(2), labels.limit(0)).collect()} != {None}
+    same = {r.score for r in toxicity.score(docs, labels.limit(0)).collect()}
+    assert len(same) == 1 and 0 <= same.pop() <= 1
     assert toxicity.clean_documents(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_features_by_brute_force(real):
+    """Dense features counted character by character and word by word."""
+    lexicon = {"bad": 3.0, "clow-": 2.6}
+    for text in ["", "YOU absolute idiot!! you clowns", "b4d w0rds, soooo bad... 1234 you?", *(r.text or "" for r in real.limit(25).collect())]:
+        got = dict(zip(toxicity.NAMES, toxicity.features(text, lexicon), strict=True))
+        words, n = toxicity.words_of(text), len(text) or 1
+        weight = lambda w: max([lexicon.get(b, 0.0) for b in toxicity.beginnings(w)])
+        undone = {w for w in words if not w.isalpha() and any(c.isalpha() for c in w) and (u := w.translate(toxicity.UNDO)) != w and (u in toxicity.INSULTS or weight(u))}
+        hits = [k for k, w in enumerate(words) if w in toxicity.INSULTS or weight(w) or w in undone]
+        you = [k for k, w in enumerate(words) if w in toxicity.YOU]
+        assert got["insults"] == sum(w in toxicity.INSULTS for w in words) and got["learned"] == sum(weight(w) > 0 for w in words)
+        assert got["nearest"] == min((abs(h - y) for h in hits for y in you), default=99) and got["undone"] == len(undone)
+        assert got["you_rate"] == pytest.approx(len(you) / (len(words) or 1))
+        assert got["exclamations"] == pytest.approx(text.count("!") / n) and got["questions"] == pytest.approx(text.count("?") / n)
+        assert got["digits"] == pytest.approx(sum(c.isdigit() and ord(c) < 0x3000 for c in text) / n)
+
+
+def test_scores_one_by_one(real, labels):
+    """The query's scores are the model's of each text alone, and predictions follow them."""
+    model, texts = toxicity.learn(real, labels), {r.doc_id: r.text or "" for r in real.collect()}
+    for r in toxicity.score(real, labels).collect():
+        assert r.score == pytest.approx(float(model.scores([texts[r.doc_id]])[0]), abs=1e-12) and r.predicted == int(r.score >= 0.7)
+
+
+def test_repeated_ids_do_not_pass_the_bound_of_labelled_rows(real, labels, monkeypatch):
+    learned = []
+    monkeypatch.setattr(toxicity, "Model", lambda lexicon, x, y, fold: learned.append((x.tolist(), y.tolist())))
+    many = real.unionByName(real).unionByName(real.selectExpr("doc_id", "concat(text, ' more') as text", "lang", "source", "n_chars"))
+    for df in (many, many.repartition(7)):
+        toxicity.learn(df, labels, fit_rows=40)
+    assert learned[0] == learned[1] and 0 < len(learned[0][1]) <= 40
+
+
 def test_language_model(spark, docs, no_docs):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in logbilinear.score(real).collect()}
@@ -282,11 +340,18 @@ def test_words_beyond_the_most_frequent_have_contexts(spark):
 def test_pipeline(spark, real):
     stages = dict(corpus_pipeline.STAGES)
     sf = "/root/testdata/sf0.001"
-    docs = real
+    docs, of = real, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, sf).cache()
         assert after.columns == real.columns and 0 < after.count()
+        of[name] = ([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.text) for r in after.collect()])
         docs = after
+    clean = {r.doc_id for r in toxicity.score(real, spark.read.parquet(f"{sf}/labels.parquet")).where("score < 0.7").collect()}
+    assert Counter(of["toxicity"][1]) == Counter(r for r in of["toxicity"][0] if r[0] in clean)
+    redact = lambda t: pii.redacted(t, (base := pii.base_spans(t)) + pii.judge().accepted(t, base))
+    assert Counter(of["pii"][1]) == Counter((i, redact(t)) for i, t in of["pii"][0])
+    copies, taken = Counter(of["mixing"][1]), {r.doc_id: (r.taken, r["size"]) for r in mixing.mix(spark.createDataFrame(of["mixing"][0], "doc_id long, text string").join(real.select("doc_id", "source"), "doc_id")).collect()}
+    assert set(copies) <= set(of["mixing"][0]) and all(copies[r] in (taken[r[0]][0] // taken[r[0]][1], taken[r[0]][0] // taken[r[0]][1] + 1) for r in of["mixing"][0] if taken[r[0]][1])
     ids = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     out = stages["sentencepiece"](spark, docs, sf).collect()
     assert len(out) == docs.count() and {r.doc_id for r in out} == ids and all(r.round_trip for r in out)

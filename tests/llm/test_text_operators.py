@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -195,11 +196,12 @@ def test_base_spans_by_brute_force():
 
 
 def test_personal_data(docs, no_docs):
-    for r, t in zip(pii.find(docs, redact=True).orderBy("doc_id", "redacted").collect(), docs.orderBy("doc_id", "text").collect(), strict=False):
-        base = plain_spans(t.text or "") if r.doc_id == t.doc_id else None
-        if base is not None and r.doc_id not in (9, None):
-            assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
-            assert set(filter(None, pii.joined(base).split(","))) <= set(filter(None, r.spans.split(",")))
+    got = pii.find(docs, redact=True).collect()
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    digest = lambda t: hashlib.sha256(pii.joined(plain_spans(t)).encode()).hexdigest()
+    assert Counter((r.doc_id, r.base_sha256) for r in got) == Counter((i, digest(t)) for i, t in texts)
+    spans = {i: set(filter(None, pii.joined(plain_spans(t)).split(","))) for i, t in texts}
+    assert all(spans[r.doc_id] <= set(filter(None, r.spans.split(","))) for r in got)
     six = pii.find(docs, redact=True).where("doc_id = 6").first()
     assert (six.n_email, six.n_ip, six.n_card, six.n_phone) == (1, 1, 1, 1) and "@" not in six.redacted and "4111" not in six.redacted
     assert pii.find(no_docs).count() == 0
@@ -213,6 +215,19 @@ def test_added_spans(text, kind):
     assert [k for k, _, _ in pii.judge().accepted(text, pii.base_spans(text))] == [kind]
 
 
+def test_recall_and_precision_of_added_spans():
+    """On sentences of another seed than the trees learned from."""
+    real = found = right = kept = 0
+    for text, kind, spans in pii._sentences(1500, 99):
+        base = pii.base_spans(text)
+        want = {(kind, a, b) for a, b in spans} - set(base)
+        added = set(pii.judge().accepted(text, base))
+        assert not any(a < e and s < b for _, a, b in added for _, s, e in base)
+        real, found, right, kept = real + len(want), found + len(added & want), right + len(added & want), kept + len(added)
+    print(f"recall {found / real:.3f} precision {right / kept:.3f} of {real} spans")
+    assert found >= 0.8 * real and right >= 0.95 * kept
+
+
 @pytest.mark.parametrize("text", ["version 10.20.30.4000 of the build", "on 2024-05-17 at 10:20:30", "meet at noon. dots follow", "isbn 978-3-1614-8410-0", "page 12 34 56"])
 def test_clean_texts_are_left_alone(text):
     assert pii.judge().accepted(text, pii.base_spans(text)) == []
