@@ -120,9 +120,12 @@ def test_unknown_rules(spark):
     assert [(r.marker_start, r.rule) for r in suppress.unknown_rules(df, Rules().rule_ids).orderBy("marker_start", "at").collect()] == [(2, "because"), (2, "no.rule"), (55, "word_choice.delv")]
 
 
-def test_span_groups(cases):
-    groups = locate.span_groups(Engine().scan(cases)).where("n > 1").count()
-    assert groups == 0
+def test_span_groups(spark, cases):
+    found = [(0, 1, 5, 2, 0, "b"), (0, 1, 5, 1, 3, "c"), (0, 1, 5, 1, 0, "d"), (0, 1, 6, 0, 0, "a"), (1, 1, 5, 0, 0, "a")]
+    got = locate.span_groups(spark.createDataFrame(found, "doc_ord long, start long, end long, det int, seq int, rule_id string")).collect()
+    assert sorted((r.doc_ord, r.start, r.end, r.n, r.rule_ids) for r in got) == [(0, 1, 5, 3, "d,c,b"), (0, 1, 6, 1, "a"), (1, 1, 5, 1, "a")]
+    scanned = Engine().scan(cases)
+    assert locate.span_groups(scanned).agg(F.sum("n")).first()[0] == scanned.count()
 
 
 def runs(texts, n, files):
